@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from contentgauge.functions import lexicons as L
+from contentgauge.functions.text import sql_list
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = sql_list(x for item in table.items() for x in item)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def category_format(category_id: Column) -> Column:

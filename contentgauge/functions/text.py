@@ -104,8 +104,12 @@ def _branches(words: list[str]) -> str:
     return f"(?:{body})?" if "" in words else body
 
 
-def _among(words: list[str]):
-    return lambda hit: hit.isin(words)
+def sql_text(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_list(words: Iterable[str]) -> str:
+    return ", ".join(sql_text(w) for w in words)
 
 
 class PhraseScan:
@@ -130,27 +134,31 @@ class PhraseScan:
             return F.array().cast("array<string>")
         return F.regexp_extract_all(folded, F.lit(self.pattern), F.lit(1))
 
-    def count(self, hits: Column, folded: Column, phrases: Iterable[str]) -> Column:
+    def count(self, hits: str, folded: str, phrases: Iterable[str]) -> Column:
+        """Occurrences of ``phrases``; ``hits`` and ``folded`` are column names."""
         wanted = set(phrases)
         by_weight: dict[int, list[str]] = {}
         for phrase in self.listed:
             weight = sum(_opens_with(phrase, w) for w in wanted if w not in self.alone)
             if weight:
                 by_weight.setdefault(weight, []).append(phrase)
-        total = F.lit(0)
-        for weight, group in sorted(by_weight.items()):
-            total = total + F.size(F.filter(hits, _among(group))) * F.lit(weight)
-        for phrase in self.alone:
-            if phrase in wanted:
-                total = total + F.regexp_count(folded, F.lit(rf"(?<![a-z0-9]){re.escape(phrase)}(?![a-z0-9])"))
-        return total
+        terms = [f"{w} * size(filter({hits}, h -> h in ({sql_list(g)})))" for w, g in sorted(by_weight.items())]
+        terms += [
+            f"regexp_count({folded}, {sql_text(rf'(?<![a-z0-9]){re.escape(p)}(?![a-z0-9])')})"
+            for p in self.alone if p in wanted
+        ]
+        return F.expr(" + ".join(terms) or "0")
 
 
 def count_phrases(folded: Column, phrases: Iterable[str]) -> Column:
     """Occurrences of a closed list, for short texts such as titles."""
-    phrases = list(phrases)
     scan = PhraseScan(phrases)
-    return scan.count(scan.hits(folded), folded, phrases)
+    weights = {p: sum(_opens_with(p, w) for w in scan.listed) for p in scan.listed}
+    table = F.expr(f"map({', '.join(f'{sql_text(p)}, {w}' for p, w in weights.items())})")
+    total = F.aggregate(scan.hits(folded), F.lit(0), lambda n, h: n + F.try_element_at(table, h))
+    for phrase in scan.alone:
+        total = total + F.regexp_count(folded, F.lit(rf"(?<![a-z0-9]){re.escape(phrase)}(?![a-z0-9])"))
+    return total
 
 
 # ------------------------------------------------------------------ languages

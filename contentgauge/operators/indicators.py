@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.functions import lexicons as L, links, strata
 from contentgauge.functions.numbers import flag, half_even, ratio
 from contentgauge.functions.text import (
-    PhraseScan, WORD_CHAR, contains_any, count_phrases, fold, lexicon_language, tokens,
+    PhraseScan, WORD_CHAR, contains_any, count_phrases, fold, lexicon_language, sql_list, tokens,
 )
 
 Indicator = Callable[["Parts"], Column]
@@ -37,7 +38,7 @@ class Parts:
     scan: PhraseScan
     done: dict[str, Column] = field(default_factory=dict)
 
-    n = property(lambda self: F.col("_n_words"))
+    n = property(lambda self: F.col("n_words"))
     toks = property(lambda self: F.col("_toks"))
     folded = property(lambda self: F.col("_folded"))
     lang = property(lambda self: F.col("et_idioma"))
@@ -46,21 +47,22 @@ class Parts:
 
     def phrases(self, key: str) -> Column:
         lists = self.lexicons[key]
-        es = self.scan.count(F.col("_hits"), self.folded, lists["es"])
-        en = self.scan.count(F.col("_hits"), self.folded, lists["en"])
+        es = self.scan.count("_hits", "_folded", lists["es"])
+        en = self.scan.count("_hits", "_folded", lists["en"])
         return F.when(self.lang == "en", en).otherwise(es)
 
     def rate(self, key: str, per: int = 1000) -> Column:
         return ratio(self.phrases(key), self.n) * F.lit(float(per))
 
 
-def is_stop(token: Column, lang: Column) -> Column:
-    """In the stop list of the language or in the English one."""
-    return token.isin(L.STOP_WORDS["en"]) | ((lang != "en") & token.isin(L.STOP_WORDS["es"]))
+def not_stop(token: str, lang: str) -> str:
+    """SQL: in neither the stop list of the language nor the English one."""
+    en, es = sql_list(L.STOP_WORDS["en"]), sql_list(dict.fromkeys(L.STOP_WORDS["es"]))
+    return f"{token} not in ({en}) and ({lang} = 'en' or {token} not in ({es}))"
 
 
-def is_digits(token: Column) -> Column:
-    return (token >= "0") & (token < ":") & F.regexp_like(token, F.lit("^[0-9]+$"))
+def not_digits(token: str) -> str:
+    return f"not ({token} >= '0' and {token} < ':' and {token} rlike '^[0-9]+$')"
 
 
 def moving_type_token_ratio(toks: Column, window: int = 200) -> Column:
@@ -127,12 +129,12 @@ def _speech(p: Parts) -> dict[str, Column]:
 def _evidence(p: Parts) -> dict[str, Column]:
     n, t = p.n, p.folded
     per_mille = lambda count: half_even(ratio(count, n) * 1000.0, 2)
-    numbers = F.regexp_count(t, F.lit(NUMBER)) + p.scan.count(F.col("_hits"), t, L.NUMBER_WORDS)
+    numbers = F.regexp_count(t, F.lit(NUMBER)) + p.scan.count("_hits", "_folded", L.NUMBER_WORDS)
     return {
         "cifras_100w": half_even(ratio(numbers, n) * 100.0, 2),
         "anios_1000w": per_mille(F.regexp_count(t, F.lit(YEAR))),
         "porcentajes_1000w": per_mille(F.regexp_count(t, F.lit(PERCENT))),
-        "unidades_1000w": per_mille(p.scan.count(F.col("_hits"), t, L.UNITS)),
+        "unidades_1000w": per_mille(p.scan.count("_hits", "_folded", L.UNITS)),
         "atribucion_1000w": half_even(p.rate("atribucion"), 2),
     }
 
@@ -263,62 +265,74 @@ def register_indicator(name: str, build: Indicator) -> None:
     _EXTRA[name] = build
 
 
-def describe(
-    items: DataFrame,
-    lexicons: dict[str, dict[str, list[str]]] | None = None,
-    language_first: str = "transcript",
-) -> DataFrame:
-    """The wide table: one row per item, every indicator and label.
+_STAGES: dict[tuple, list[dict[str, Column]]] = {}
 
-    Texts are folded, tokenised and scanned once per row; no shuffle. A caller
-    who selects few indicators pays for those only, the rest is pruned.
-    """
-    lexicons = lexicons or L.LEXICONS
-    for name, kind in OPTIONAL_COLUMNS.items():
-        if name not in items.columns:
-            items = items.withColumn(name, F.lit(None).cast(kind))
+
+def _stages(lexicons: dict[str, dict[str, list[str]]], language_first: str) -> list[dict[str, Column]]:
+    """The columns of the wide table in the order they build on one another. Columns
+    do not depend on a table, so they are made once per process and list set."""
+    key = (id(SparkContext._gateway), repr(lexicons), language_first, tuple(_EXTRA.items()))
+    if key in _STAGES:
+        return _STAGES[key]
     listed = [p for lists in lexicons.values() for phrases in lists.values() for p in phrases]
     parts = Parts(lexicons, PhraseScan(listed + L.UNITS + L.NUMBER_WORDS))
-    keep = items.columns
-
-    lang = lexicon_language(F.col("video_language"), F.col("transcript_lang"), language_first)
     tag_text = F.array_join(F.coalesce(F.col("tags"), F.array().cast("array<string>")), " ")
     category = F.coalesce(
         F.nullif(F.col("category_name"), F.lit("")), strata.category_name(F.col("category_id")),
         F.lit("sin_categoria"),
     )
     text = F.coalesce(F.col("transcript"), F.lit(""))
-    df = items.select(
-        *keep,
-        lang.alias("et_idioma"),
-        category.alias("et_categoria_yt"),
-        fold(F.col("transcript")).alias("_folded"),
-        fold(F.col("title")).alias("_title_folded"),
-        fold(F.concat_ws(" ", F.coalesce(F.col("title"), F.lit("")), tag_text)).alias("_title_tags"),
-        (F.nullif(F.col("duration_seconds"), F.lit(0)) / 60.0).alias("_minutes"),
-        F.regexp_count(text, F.lit("[.!?…]")).alias("_marks"),
-        (F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))).alias("_questions"),
-        links.links(F.col("description")).alias("_links"),
-    )
-    df = df.withColumns({"_toks": tokens(F.col("_folded")), "_hits": parts.scan.hits(F.col("_folded"))})
-    df = df.withColumns({
-        "_n_words": F.size("_toks"),
-        "_content": F.filter("_toks", lambda t: ~is_stop(t, F.col("et_idioma")) & ~is_digits(t)),
-        "_keys": F.filter(
-            tokens(F.col("_title_folded")), lambda t: (F.length(t) > 3) & ~is_stop(t, F.col("et_idioma"))
-        ),
-    })
-    df = df.withColumns({
+    inputs = {
+        "et_idioma": lexicon_language(F.col("video_language"), F.col("transcript_lang"), language_first),
+        "et_categoria_yt": category,
+        "_folded": fold(F.col("transcript")),
+        "_title_folded": fold(F.col("title")),
+        "_title_tags": fold(F.concat_ws(" ", F.coalesce(F.col("title"), F.lit("")), tag_text)),
+        "_minutes": F.nullif(F.col("duration_seconds"), F.lit(0)) / 60.0,
+        "_marks": F.regexp_count(text, F.lit("[.!?…]")),
+        "_questions": F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit(""))),
+        "_links": links.links(F.col("description")),
+    }
+    words = {
+        "_toks": tokens(F.col("_folded")),
+        "_hits": parts.scan.hits(F.col("_folded")),
+        "_title_toks": tokens(F.col("_title_folded")),
+    }
+    counted = {
+        "n_words": F.size("_toks"),
+        "_content": F.expr(f"filter(_toks, t -> {not_stop('t', 'et_idioma')} and {not_digits('t')})"),
+        "_keys": F.expr(f"filter(_title_toks, t -> length(t) > 3 and {not_stop('t', 'et_idioma')})"),
+    }
+    gate = {
         "_content_sorted": F.sort_array("_content"),
         "_topical": F.transform("_toks", lambda t: F.array_contains(F.col("_keys"), t)),
         **_validity(parts),
-    })
-    df = df.withColumns({
+    }
+    measured = {
         **_speech(parts), **_evidence(parts), **_reasoning(parts), **_description(parts), **_title(parts),
-    })
-    df = df.withColumns({**_composed(parts), **{k: build(parts) for k, build in _EXTRA.items()}})
-    df = df.withColumns(_labels(parts)).withColumnRenamed("_n_words", "n_words")
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    }
+    composed = {**_composed(parts), **{name: build(parts) for name, build in _EXTRA.items()}}
+    _STAGES[key] = [inputs, words, counted, gate, measured, composed, _labels(parts)]
+    return _STAGES[key]
+
+
+def describe(
+    items: DataFrame,
+    lexicons: dict[str, dict[str, list[str]]] | None = None,
+    language_first: str = "transcript",
+) -> DataFrame:
+    """The wide table: one row per item, every indicator and label.
+
+    Texts are folded, tokenised and scanned once per row; no shuffle. A caller
+    who selects few indicators pays for those only, the rest is pruned.
+    """
+    missing = {n: F.lit(None).cast(kind) for n, kind in OPTIONAL_COLUMNS.items() if n not in items.columns}
+    df = items.withColumns(missing) if missing else items
+    made: list[str] = []
+    for stage in _stages(lexicons or L.LEXICONS, language_first):
+        df = df.withColumns(stage)
+        made += stage
+    return df.drop(*[c for c in made if c.startswith("_")])
 
 
 # ------------------------------------------------------------------ pace
