@@ -20,11 +20,11 @@ def explained_variance(long: DataFrame, group: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     distinct = rows.groupBy("descriptor").agg(F.count_distinct("value").alias("d"))
     total = by_group.groupBy("descriptor").agg(
-        F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+        F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
     parts = by_group.join(F.broadcast(total), "descriptor").groupBy("descriptor").agg(
-        F.max("N").alias("N"), F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)).alias("between"),
+        F.max("rows").alias("rows"), F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)).alias("between"),
         F.sum(F.col("n") * F.col("v")).alias("within"))
-    usable = (F.col("N") >= 12) & (F.col("d") >= 3)
+    usable = (F.col("rows") >= 12) & (F.col("d") >= 3)
     eta = F.when(usable, ratio(F.col("between"), F.col("between") + F.col("within")))
     return parts.join(F.broadcast(distinct), "descriptor").select("descriptor", half_even(eta, 6).alias("eta2"))
 
@@ -34,8 +34,10 @@ def log_seconds(c: str = "duration_seconds") -> Column:
 
 
 def safe_corr(x: Column, y: Column) -> Column:
-    r = F.corr(x, y)
-    return F.when(~F.isnan(r), r)
+    """Pearson over the complete pairs, null when one side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def duration_correlation(long: DataFrame) -> DataFrame:

@@ -227,7 +227,7 @@ def k11(spark, sf):
     return T.explained_variance(_ref_long(spark, sf, "formato"), "formato")
 
 
-@query("k12_duration_correlation", """select descriptor, count(value)::bigint as n, round(corr(value, ln(duration_seconds::double)), 6) as corr_log_dur_global
+@query("k12_duration_correlation", """select descriptor, count(value)::bigint as n, round(nullif(corr(value, ln(duration_seconds::double)), 'nan'::double), 6) as corr_log_dur_global
   from ref where duration_seconds > 0 group by descriptor""", KINDS)
 def k12(spark, sf):
     return T.duration_correlation(_ref_long(spark, sf, "duration_seconds"))
@@ -243,7 +243,7 @@ def k13(spark, sf):
 
 PAIRS = [(a, b) for i, a in enumerate(L.PANEL) for b in L.PANEL[i + 1:]]
 MATRIX_SQL = " union all ".join(
-    f"select {text(a)} as a, {text(b)} as b, round(corr({a}::double, {b}::double), 6) as r from feat where apt and corpus = 'referencia'" for a, b in PAIRS)
+    f"select {text(a)} as a, {text(b)} as b, round(nullif(corr({a}::double, {b}::double), 'nan'::double), 6) as r from feat where apt and corpus = 'referencia'" for a, b in PAIRS)
 
 
 @query("k14_correlation_matrix", MATRIX_SQL, Q.PANEL)
@@ -308,7 +308,7 @@ ranked as (select *, rank() over (partition by descriptor order by x) + (count(*
   rank() over (partition by descriptor order by y) + (count(*) over (partition by descriptor, y) - 1) / 2e0 as ry from both_sides)"""
 
 
-@query("k19_c10_instrument_calibration", f"""select descriptor, count(*)::bigint as n, round(corr(x, y), 6) as corr_pearson, round(corr(rx, ry), 6) as corr_spearman,
+@query("k19_c10_instrument_calibration", f"""select descriptor, count(*)::bigint as n, round(nullif(corr(x, y), 'nan'::double), 6) as corr_pearson, round(nullif(corr(rx, ry), 'nan'::double), 6) as corr_spearman,
   {rounded("quantile_cont(case when x <> 0 then round_even(abs((y - x) / x) * 1e6, 0)::double / 1e6 end, 5e-1)", 6)} as cambio_relativo_mediano,
   {rounded('quantile_cont(abs(pct_y - pct_x), 5e-1)', 6)} as desplaz_percentil_mediana, {rounded('quantile_cont(abs(pct_y - pct_x), 9e-1)', 6)} as desplaz_percentil_p90,
   count(*) filter (tx is not null and ty is not null)::bigint as n_comparables,
