@@ -31,7 +31,9 @@ def flag(c: Column) -> Column:
 
 def cap_width(c: Column, n: int) -> Column:
     """Trim, keep n characters, empty becomes null."""
-    return F.nullif(F.left(F.trim(c), F.lit(n)), F.lit(""))
+    from contentgauge.functions.text import strip
+
+    return F.nullif(F.left(strip(c), F.lit(n)), F.lit(""))
 
 
 def _iso_part(c: Column, pattern: str, unit: str) -> Column:

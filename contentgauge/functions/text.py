@@ -13,6 +13,7 @@ from pyspark.sql import Column, functions as F
 TOKEN = "[a-z0-9']+"
 RAW_TOKEN = "[a-zA-ZáéíóúüñÁÉÍÓÚÜÑ0-9']+"
 WORD_CHAR = r"[\p{L}\p{N}_]"
+WHITE = r"[\s\p{Z}\x1c-\x1f\x{85}]+"
 
 
 @lru_cache(maxsize=2)
@@ -62,7 +63,12 @@ def raw_word_count(c: Column) -> Column:
 
 def blank_words(c: Column) -> Column:
     """Words between runs of white space (none for a blank text)."""
-    return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(c, WHITE), lambda w: w != "")
+
+
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, rf"^{WHITE}|{WHITE}$", "")
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from contentgauge.functions import lexicons as L, links, strata
 from contentgauge.functions.numbers import flag, half_even, ratio
 from contentgauge.functions.text import (
-    PhraseScan, WORD_CHAR, contains_any, count_phrases, fold, lexicon_language, sql_list, tokens,
+    PhraseScan, WORD_CHAR, contains_any, count_phrases, fold, lexicon_language, sql_list, strip, tokens,
 )
 
 Indicator = Callable[["Parts"], Column]
@@ -106,7 +106,7 @@ def _validity(p: Parts) -> dict[str, Column]:
         "v_cobertura_transcripcion": F.when(n > 0, half_even(coverage, 2)),
         "v_transcripcion_completa": flag(complete),
         "v_tiene_metadatos": flag(F.col("category_id").isNotNull()),
-        "v_tiene_descripcion": flag(F.trim(F.col("description")) != ""),
+        "v_tiene_descripcion": flag(strip(F.col("description")) != ""),
         "v_apto_panel": flag(complete & F.col("category_id").isNotNull()),
     }
 

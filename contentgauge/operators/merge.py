@@ -119,7 +119,9 @@ def split_legacy(videos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ``videos``: youtube_id, url, title, channel, duration, tags (JSON text), score_letter,
     score_numeric, watched_at, created_at. Item ids are the natural key.
     """
-    one = latest_per_key(videos, ["youtube_id"], [F.col("created_at"), F.col("title")])
+    rest = [c for c in videos.columns if c != "youtube_id"]
+    one = videos.groupBy("youtube_id").agg(F.min_by(F.struct(*rest), F.struct("created_at", "title")).alias("r"))
+    one = one.select("youtube_id", "r.*")
     tags = F.from_json(F.nullif("tags", F.lit("")), "array<string>")
     items = one.select(
         F.lit("youtube").alias("source"), F.col("youtube_id").alias("external_id"), "url", "title", "channel",

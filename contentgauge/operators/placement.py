@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.functions import lexicons as L
 from contentgauge.functions.numbers import clean_number, flag, half_even, ratio
+from contentgauge.functions.text import blank_words
 from contentgauge.operators.scale import ALL, locate, long_form
-from contentgauge.operators.skew import histogram, median_by, quantile
+from contentgauge.operators.skew import median_by
 
 OUT_OF_FRAME = "fuera_del_marco"
 
@@ -184,7 +185,7 @@ def gold_rows(placed: DataFrame, computed_at: Column, frame: str = L.FRAME_VERSI
         not_measurable_reason(F.col("v_tiene_transcripcion"), F.col("v_transcripcion_completa"),
                               F.col("v_tiene_metadatos")).alias("motivo_no_apto"),
         F.when(apt, F.col("panel")).alias("panel"), tags.alias("etiquetas"),
-        F.nullif(F.size(F.filter(F.split(F.trim("transcript"), r"\s+"), lambda w: w != "")), F.lit(0)).alias("n_words"),
+        F.nullif(F.size(blank_words(F.col("transcript"))), F.lit(0)).alias("n_words"),
         "duration_seconds", F.col("et_idioma").alias("lang"), "transcript_source",
         (F.col("v_tiene_descripcion") == 1).alias("has_description"), (F.col("n_tags") > 0).alias("has_tags"),
         *raw, *pct,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.functions.numbers import flag
-from contentgauge.functions.text import contains_any, sql_list
+from contentgauge.functions.text import contains_any, sql_list, strip
 
 # fixed values
 PERMANENT = ["ok", "no_subs", "geo_blocked", "unavailable", "exhausted"]
@@ -54,7 +54,7 @@ def due(items: DataFrame, now: Column, worker: bool = True, force: bool = False,
 def should_retry(transcript: Column, status: Column, last: Column, now: Column) -> Column:
     """No text, no lasting status, 90 seconds or more since the last try."""
     waited = (F.unix_micros(now) - F.unix_micros(last)) >= F.lit(RETRY_SECONDS * 1_000_000)
-    blank = F.trim(F.coalesce(transcript, F.lit(""))) == ""
+    blank = strip(F.coalesce(transcript, F.lit(""))) == ""
     return blank & (status.isNull() | (status == "error")) & F.coalesce(waited, F.lit(True))
 
 
