@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.functions import lexicons as L, links, strata
 from contentgauge.functions.numbers import flag, half_even, ratio
+from contentgauge.operators.once import once
 from contentgauge.functions.text import (
     PhraseScan, WORD_CHAR, contains_any, count_phrases, fold, lexicon_language, sql_list, strip, tokens,
 )
@@ -294,7 +295,6 @@ def _stages(lexicons: dict[str, dict[str, list[str]]], language_first: str) -> l
         "_links": links.links(F.col("description")),
     }
     words = {
-        "_toks": tokens(F.col("_folded")),
         "_hits": parts.scan.hits(F.col("_folded")),
         "_title_toks": tokens(F.col("_title_folded")),
     }
@@ -332,6 +332,9 @@ def describe(
     for stage in _stages(lexicons or L.LEXICONS, language_first):
         df = df.withColumns(stage)
         made += stage
+        if "_folded" in stage:
+            df = once(df, _toks=tokens(F.col("_folded")))
+            made.append("_toks")
     return df.drop(*[c for c in made if c.startswith("_")])
 
 

@@ -1,0 +1,17 @@
+"""Expressions that must not be repeated."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A filter on a derived column is moved below the projection that made it, with the
+    expression copied into it: a text would be tokenised for the filter and again for
+    the rows that pass. The output of a generator stays where it is, so the columns
+    are made as the single element of an array.
+    """
+    packed = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(packed)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.functions.numbers import flag, half_even, ratio
 from contentgauge.functions.text import blank_words, contains_any, quiz_fold
+from contentgauge.operators.once import once
 
 OPTIONS = 4
 # fixed values
@@ -44,11 +45,11 @@ def longest_run(words: Column, text: Column) -> Column:
 
 def anchoring(quotes: DataFrame, quote: str = "cita", transcript: str = "transcript") -> DataFrame:
     """anclada, motivo_anclaje: does the quote occur in the transcript?"""
-    d = quotes.withColumns({"_q": quiz_fold(F.col(quote)), "_t": quiz_fold(F.col(transcript))})
+    d = once(quotes, _q=quiz_fold(F.col(quote)), _t=quiz_fold(F.col(transcript)))
     d = d.withColumn("_w", words_of(F.col("_q")))
     n = F.size("_w")
     literal = F.contains("_t", F.col("_q"))
-    d = d.withColumn("_best", F.when((n >= 6) & ~literal, longest_run(F.col("_w"), F.col("_t"))))
+    d = once(d, _best=F.when((n >= 6) & ~literal, longest_run(F.col("_w"), F.col("_t"))))
     best = F.col("_best")
     partial = (best >= 6) | (best >= F.lit(0.6) * n)
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -61,10 +62,11 @@ def anchoring(quotes: DataFrame, quote: str = "cita", transcript: str = "transcr
     return d.drop("_q", "_t", "_w", "_best")
 
 
-def sufficiency(answer: Column, quote: Column, kind: Column) -> Column:
-    """struct(ok, motivo): do the words of the answer occur in the quote?"""
+def sufficiency(answer: Column, quote_words: Column, kind: Column) -> Column:
+    """struct(ok, motivo): do the words of the answer occur in the quote? The words of
+    the quote come as a column; they are looked up for every word of the answer."""
     content = F.filter(words_of(quiz_fold(answer)), lambda w: (F.length(w) > 1) & ~w.isin(EMPTY_WORDS))
-    in_quote = F.size(F.filter(content, lambda w: F.array_contains(words_of(quiz_fold(quote)), w)))
+    in_quote = F.size(F.filter(content, lambda w: F.array_contains(quote_words, w)))
     n, infers = F.size(content), F.coalesce(kind.isin(INFERENCE_TYPES), F.lit(False))
     least = F.when(infers, 1).otherwise(F.greatest(F.lit(1), F.floor((n + 1) / 2).cast("int")))
     label = F.when(infers, "inferencia").otherwise("dato")
@@ -154,17 +156,16 @@ def control(questions: DataFrame, seed: str = "20260820") -> DataFrame:
     """
     d = questions.withColumns({"cita": F.trim("cita"), "_form": form_fault(F.col("pregunta"), F.col("opciones"), F.col("correcta"))})
     at = F.when(F.col("correcta") < 0, F.col("correcta") + OPTIONS).otherwise(F.col("correcta"))
-    d = d.withColumn("_mix", shuffled_options(F.col("opciones"), at.cast("int"), F.col("pregunta_id"), seed))
+    d = once(d, _mix=shuffled_options(F.col("opciones"), at.cast("int"), F.col("pregunta_id"), seed))
     d = d.withColumns({
         "_answer": F.when(F.col("_form").isNull(), F.get(F.col("opciones"), at)),
         "opciones": F.when(F.col("_form").isNull(), F.col("_mix.opciones")).otherwise(F.col("opciones")),
         "correcta": F.when(F.col("_form").isNull(), F.col("_mix.correcta")),
     }).drop("_mix")
     d = anchoring(d)
-    d = d.withColumns({
-        "_suf": sufficiency(F.col("_answer"), F.col("cita"), F.col("tipo")),
-        "_bal": balance(F.col("opciones"), F.col("correcta")),
-    })
+    d = once(d, _quote=words_of(quiz_fold(F.col("cita"))))
+    d = once(d, _suf=sufficiency(F.col("_answer"), F.col("_quote"), F.col("tipo")),
+             _bal=balance(F.col("opciones"), F.col("correcta")))
     formed = F.col("_form").isNull()
     anchored = formed & F.col("anclada")
     justified = anchored & F.col("_suf.ok")
@@ -182,7 +183,7 @@ def control(questions: DataFrame, seed: str = "20260820") -> DataFrame:
     })
     return d.withColumns({
         "dificil": ~F.col("linea_base_acerto"), "sobrevive": F.col("descarte").isNull(),
-    }).drop("_form", "_answer", "_suf", "_bal")
+    }).drop("_form", "_answer", "_quote", "_suf", "_bal")
 
 
 def recontrol(questions: DataFrame, answers: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from contentgauge.functions import numbers, strata, text as T
 from contentgauge.operators import diet as D, legacy_score as J, quiz as QZ, skew as SK, stats as ST
 from contentgauge.operators.indicators import portion_label
+from contentgauge.operators.once import once
 from contentgauge.plans import sql_features as Q, views as V
-from contentgauge.plans.registry import query
+from contentgauge.plans.registry import ORACLES, query
 from contentgauge.plans.sql_features import rounded, text
 from contentgauge.plans.times import stamp
 
@@ -102,12 +103,23 @@ def n02(spark, sf):
     return first.select("content_id", "r.event_id", stamp("r.watched_at").alias("t"))
 
 
-@query("n03_throttled_attempts", None)
+THROTTLE_SQL = """
+seconds_v as materialized (select distinct event_id % 500 as item, epoch_us(ts) // 1000000 as sec from events)"""
+COOL_DOWN = 86_400
+
+
+@query("n03_throttled_attempts")
 def n03(spark, sf):
-    """Attempts let through by the 90-second cool-down, as the stream processor does it."""
+    """Attempts a cool-down lets through, as the stream processor does it."""
     from contentgauge.streaming.feed import throttle_rows
     e = V.table(spark, sf, "events").select((F.col("event_id") % 500).alias("item"), F.col("ts").cast("timestamp").alias("at"))
-    return throttle_rows(e, seconds=86_400)
+    return throttle_rows(e, seconds=COOL_DOWN)
+
+
+ORACLES["n03_throttled_attempts"] = "with recursive " + V.SQL_VIEWS + "," + THROTTLE_SQL + f""",
+chain as (select item, min(sec)::bigint as sec from seconds_v group by item
+  union all select c.item, min(s.sec)::bigint from chain c join seconds_v s on s.item = c.item and s.sec >= c.sec + {COOL_DOWN} group by c.item)
+select item, sec as "at" from chain"""
 
 
 # ------------------------------------------------------------------ M: raters
@@ -164,11 +176,12 @@ def b14(spark, sf):
 
 # ------------------------------------------------------------------ M: item controls
 
-# quotes: stretches of the benchmark texts, read against the documents of the same number
+# one question per document, quoting it word for word, with a word put in, or backwards
 QUOTES_SQL = r"""
-quoted as materialized (select item_id as pregunta_id, d.doc_id as content_id, d.text as transcript,
-  array_to_string(list_slice(list_filter(regexp_split_to_array(b.text, '\s+'), lambda w: w <> ''), 1, (4 + item_id % 20)::int), ' ') as cita
-  from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40),
+pieces as materialized (select doc_id, text, list_slice(w, len(w) // 3 + 1, len(w) // 3 + 4 + (doc_id % 20)::int) as p
+  from (select doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents)),
+quoted as materialized (select doc_id as pregunta_id, doc_id as content_id, text as transcript, array_to_string(case when doc_id % 3 = 0 then p
+  when doc_id % 3 = 1 then list_concat(list_concat(list_slice(p, 1, 7), ['zzz']), list_slice(p, 8, len(p))) else list_reverse(p) end, ' ') as cita from pieces),
 folded as (select pregunta_id, content_id, trim(regexp_replace(regexp_replace(strip_accents(lower(cita)), '[^a-z0-9ñ ]+', ' ', 'g'), '\s+', ' ', 'g')) as q,
   trim(regexp_replace(regexp_replace(strip_accents(lower(transcript)), '[^a-z0-9ñ ]+', ' ', 'g'), '\s+', ' ', 'g')) as t from quoted),
 runs as (select *, case when q = '' then [] else string_split(q, ' ') end as w from folded),
@@ -177,12 +190,14 @@ best as materialized (select *, len(w) as n, case when contains(t, q) then len(w
 
 
 def quoted(spark, sf):
-    b = V.table(spark, sf, "benchmark")
-    words = T.blank_words(F.col("text"))
-    b = b.select(F.col("item_id").alias("pregunta_id"), (F.col("item_id") % 40).alias("_m"),
-                 F.array_join(F.slice(words, F.lit(1), (4 + F.col("item_id") % 20).cast("int")), " ").alias("cita"))
-    d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), (F.col("doc_id") % 40).alias("_m"), F.col("text").alias("transcript"))
-    return d.join(b, "_m").drop("_m")
+    i = F.col("doc_id")
+    d = V.table(spark, sf, "documents").select("doc_id", "text", T.blank_words(F.col("text")).alias("_w"))
+    third = F.floor(F.size("_w") / 3).cast("int")
+    d = once(d, _p=F.slice("_w", third + 1, (4 + i % 20).cast("int")))
+    broken = F.concat(F.slice("_p", 1, 7), F.array(F.lit("zzz")), F.slice("_p", F.lit(8), F.size("_p")))
+    words = F.when(i % 3 == 0, F.col("_p")).when(i % 3 == 1, broken).otherwise(F.reverse("_p"))
+    return d.select(i.alias("pregunta_id"), i.alias("content_id"), F.col("text").alias("transcript"),
+                    F.array_join(words, " ").alias("cita"))
 
 
 @query("m02_quote_anchoring", """select pregunta_id, content_id, n >= 6 and (contains(t, q) or b >= 6 or b >= 6e-1 * n) as anclada,
@@ -204,8 +219,8 @@ def m03(spark, sf):
     i = F.col("pregunta_id")
     answer = F.array_join(F.slice(F.split(T.quiz_fold(F.col("transcript")), " "), F.lit(1), (i % 5).cast("int")), " ")
     kind = F.when(i % 3 == 0, "argumento").otherwise("dato")
-    d = quoted(spark, sf).withColumn("_a", answer)
-    return d.select("pregunta_id", "content_id", QZ.sufficiency(F.col("_a"), F.col("cita"), kind).alias("r")).select("pregunta_id", "content_id", "r.*")
+    d = once(quoted(spark, sf), _a=answer, _q=QZ.words_of(T.quiz_fold(F.col("cita"))))
+    return d.select("pregunta_id", "content_id", QZ.sufficiency(F.col("_a"), F.col("_q"), kind).alias("r")).select("pregunta_id", "content_id", "r.*")
 
 
 OPTIONS_SQL = f"""
@@ -257,12 +272,12 @@ def m01(spark, sf):
 
 
 def generated(spark, sf):
-    """Quiz questions on the documents: quotes of the benchmark, options from its words."""
+    """Quiz questions on the documents, their options taken from the quote."""
     i = F.col("pregunta_id")
     d = quoted(spark, sf).withColumn("_w", F.array_distinct(F.filter(F.split(T.quiz_fold(F.col("cita")), " "), lambda w: F.length(w) > 1)))
     option = lambda n, word: F.coalesce(F.get("_w", F.lit(n)), F.lit(word))
     return d.select(
-        (i * 1_000_000_000 + F.col("content_id")).alias("pregunta_id"), "content_id", "transcript", "cita",
+        "pregunta_id", "content_id", "transcript", "cita",
         F.lit("¿Qué se dijo?").alias("pregunta"), F.when(i % 3 == 0, "argumento").when(i % 3 == 1, "dato").otherwise("definicion").alias("tipo"),
         F.when(i % 9 == 8, F.array(F.lit("a"))).otherwise(F.array(option(0, "zeta"), option(1, "yota"), option(2, "xilo"), F.lit("vacio"))).alias("opciones"),
         (i % 4).cast("int").alias("correcta"), F.when(F.col("content_id") % 10 != 0, (F.col("content_id") % 4).cast("int")).alias("control_eleccion"))
@@ -274,22 +289,22 @@ opt_v as (select *, list_filter(lw, lambda x, i: list_position(lw, x) = i) as u
 answers_v as (select *, [coalesce(u[1], 'zeta'), coalesce(u[2], 'yota'), coalesce(u[3], 'xilo'), 'vacio'] as o, (pregunta_id % 4 + 1)::int as c from opt_v),
 form_v as (select *, o[c] as ans, list_sort(list_transform(list_filter(range(1, 5), lambda i: i <> c), lambda i: length(o[i])))[2] as mid,
   n >= 6 and (contains(t, q) or b >= 6 or b >= 6e-1 * n) as anchored from answers_v),
-staged as materialized (select pregunta_id * 1000000000 + content_id as qid, content_id, case when pregunta_id % 3 = 0 then 'argumento' when pregunta_id % 3 = 1 then 'dato' else 'definicion' end as tipo,
+staged as materialized (select pregunta_id as qid, content_id, case when pregunta_id % 3 = 0 then 'argumento' when pregunta_id % 3 = 1 then 'dato' else 'definicion' end as tipo,
   o, c, pregunta_id % 9 = 8 as bad_form, len(list_distinct(o)) < 4 as dup, anchored, not list_contains({EMPTY}, ans) and list_contains(w, ans) as enough, length(ans) / mid::double as share from form_v),
 cascade as materialized (select *, case when bad_form then 'formato_invalido' when dup then 'opciones_duplicadas' when not anchored then 'cita_no_verificable' when not enough then 'cita_no_justifica'
   when share > 16e-1 or share < 5e-1 then 'opciones_desbalanceadas' when content_id % 10 = 0 then 'control_fallo' end as descarte,
-  list_position(list_transform(list_sort(list_transform(range(0, 4), lambda i: md5(qid || ':20260820:' || i || ':' || o[i + 1]) || '|' || i)), lambda h: split_part(h, '|', 2)::int), c - 1) - 1 as at from staged)"""
+  list_position(list_transform(list_sort(list_transform(range(0, 4), lambda i: md5(qid || ':20260820:' || i || ':' || o[i + 1]) || '|' || i)), lambda h: split_part(h, '|', 2)::int), c - 1) - 1 as place from staged)"""
 
 
-@query("m06_f11_control_cascade", """select qid as pregunta_id, descarte, descarte is null as sobrevive, case when not bad_form and not dup then at::int end as correcta,
-  case when descarte is null then at = content_id % 4 end as linea_base_acerto from cascade""", FUNNEL_SQL)
+@query("m06_f11_control_cascade", """select qid as pregunta_id, descarte, descarte is null as sobrevive, case when not bad_form and not dup then place::int end as correcta,
+  case when descarte is null then place = content_id % 4 end as linea_base_acerto from cascade""", FUNNEL_SQL)
 def m06(spark, sf):
     return QZ.control(generated(spark, sf)).select("pregunta_id", "descarte", "sobrevive", "correcta", "linea_base_acerto")
 
 
 @query("d16_quiz_funnel", f"""select count(distinct content_id)::bigint as videos, count(*)::bigint as generadas, count(*) filter (not bad_form and not dup and anchored)::bigint as ancladas,
   count(*) filter (not bad_form and not dup and anchored and enough)::bigint as justificadas, count(*) filter (descarte is null)::bigint as utilizables,
-  count(*) filter (descarte is null and at = content_id % 4)::bigint as base_acerto, count(*) filter (descarte is null and at <> content_id % 4)::bigint as dificiles,
+  count(*) filter (descarte is null and place = content_id % 4)::bigint as base_acerto, count(*) filter (descarte is null and place <> content_id % 4)::bigint as dificiles,
   {rounded('count(*) filter (descarte is null) / count(distinct content_id)::double', 6)} as por_video from cascade""", FUNNEL_SQL)
 def d16(spark, sf):
     return QZ.funnel(QZ.control(generated(spark, sf)))
