@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.functions import lexicons as L, links, strata
 from contentgauge.functions.numbers import flag, half_even, ratio
-from contentgauge.operators.once import once
+from contentgauge.operators.shape import once, spread
 from contentgauge.functions.text import (
     PhraseScan, WORD_CHAR, contains_any, count_phrases, fold, lexicon_language, sql_list, strip, tokens,
 )
@@ -327,7 +327,8 @@ def describe(
     who selects few indicators pays for those only, the rest is pruned.
     """
     missing = {n: F.lit(None).cast(kind) for n, kind in OPTIONAL_COLUMNS.items() if n not in items.columns}
-    df = items.withColumns(missing) if missing else items
+    df = spread(items)
+    df = df.withColumns(missing) if missing else df
     made: list[str] = []
     for stage in _stages(lexicons or L.LEXICONS, language_first):
         df = df.withColumns(stage)

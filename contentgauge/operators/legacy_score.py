@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.functions.numbers import half_even, ratio
 from contentgauge.functions.text import WORD_CHAR, blank_words
+from contentgauge.operators.shape import spread
 
 # fixed values
 WEIGHTS = {"title": 0.15, "duration": 0.08, "lexical_richness": 0.15, "data_density": 0.15, "source_presence": 0.10,
@@ -109,7 +110,7 @@ def score(items: DataFrame) -> DataFrame:
     comment_count, description.
     """
     text = F.coalesce("transcript", F.lit(""))
-    d = items.withColumns({
+    d = spread(items).withColumns({
         "_text": text, "_lower": F.lower(text), "_blank": F.size(blank_words(text)),
     })
     d = d.withColumn("_w", F.regexp_extract_all("_lower", F.lit(WORDS), F.lit(0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.functions.numbers import flag, half_even, ratio
 from contentgauge.functions.text import blank_words, contains_any, quiz_fold
-from contentgauge.operators.once import once
+from contentgauge.operators.shape import once, spread
 
 OPTIONS = 4
 # fixed values
@@ -45,7 +45,7 @@ def longest_run(words: Column, text: Column) -> Column:
 
 def anchoring(quotes: DataFrame, quote: str = "cita", transcript: str = "transcript") -> DataFrame:
     """anclada, motivo_anclaje: does the quote occur in the transcript?"""
-    d = once(quotes, _q=quiz_fold(F.col(quote)), _t=quiz_fold(F.col(transcript)))
+    d = once(spread(quotes), _q=quiz_fold(F.col(quote)), _t=quiz_fold(F.col(transcript)))
     d = d.withColumn("_w", words_of(F.col("_q")))
     n = F.size("_w")
     literal = F.contains("_t", F.col("_q"))

@@ -20,7 +20,7 @@ from contentgauge.session import cut_lineage
 
 GRID = [i / 100 for i in range(101)]
 ALL = "_todos"
-SHUFFLE_LIMIT = 200_000      # rows per descriptor up to which rows themselves are shuffled
+SHUFFLE_LIMIT = 500_000      # rows x shuffles of a descriptor up to which rows themselves are shuffled
 BLOCK_LIMIT = 500_000_000    # largest population one hypergeometric draw takes
 
 
@@ -86,12 +86,13 @@ def permutation_test(
     rango and p_permutacion: the share of shuffles whose range reaches the real one,
     null under 40 rows or 2 groups.
 
-    Up to ``shuffle_limit`` rows per descriptor the rows are put in md5 order for
-    every shuffle. Beyond, the labels are drawn on the value histogram: dealing
+    Up to ``shuffle_limit`` rows x shuffles per descriptor the rows are put in md5 order
+    for every shuffle. Beyond, the labels are drawn on the value histogram: dealing
     shuffled labels to rows and counting them per value is a multivariate
     hypergeometric draw, so its cost depends on distinct values, not on rows.
     """
     complete = rows.where(F.col("value").isNotNull() & F.col("grupo").isNotNull())
+    # the only reading of the texts, unless rows are few enough to be shuffled themselves
     hist = cut_lineage(histogram(rows, ["descriptor", "grupo"], "value"))
     types = kinds(hist) if types is None else types
     usable = hist.where(F.col("grupo").isNotNull())
@@ -103,10 +104,11 @@ def permutation_test(
     typed = usable.join(F.broadcast(types.select("descriptor", "tipo")), "descriptor")
     real = group_range(typed, ["descriptor"])
     largest = totals.agg(F.max("_rows")).first()[0] or 0
-    if largest <= shuffle_limit:
+    if largest * permutations <= shuffle_limit:
         null = _shuffled_rows(complete, types, totals, permutations, seed)
     else:
-        null = _drawn_tables(complete, types, totals, permutations, seed, largest)
+        blocks = -(-int(largest) // BLOCK_LIMIT)
+        null = _drawn_tables(usable if blocks == 1 else complete, types, totals, permutations, seed, blocks)
     reached = (
         null.withColumnRenamed("rango", "azar").join(F.broadcast(real), "descriptor")
         .groupBy("descriptor").agg(F.avg(F.when(F.col("azar") >= F.col("rango"), 1.0).otherwise(0.0)).alias("p"))
@@ -120,7 +122,7 @@ def permutation_test(
 def _shuffled_rows(rows, types, totals, permutations, seed):
     """Each shuffle orders the rows by md5; the groups take that order in turn."""
     dealt = (
-        rows.select("descriptor", "id", "value").join(F.broadcast(totals), "descriptor")
+        cut_lineage(rows.select("descriptor", "id", "value")).join(F.broadcast(totals), "descriptor")
         .join(F.broadcast(types.select("descriptor", "tipo")), "descriptor")
         .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     )
@@ -137,19 +139,20 @@ def _shuffled_rows(rows, types, totals, permutations, seed):
     return group_range(grouped, ["descriptor", "perm"])
 
 
-def _drawn_tables(rows, types, totals, permutations, seed, largest):
+def _drawn_tables(rows, types, totals, permutations, seed, blocks):
     """Labels drawn on the histogram, a share of the shuffles per task.
 
     Populations above BLOCK_LIMIT are split into blocks by the hash of the id and
-    labels are shuffled inside blocks, a permutation test in its own right.
+    labels are shuffled inside blocks, a permutation test in its own right; only then
+    ``rows`` are rows, else they are the histogram already.
     """
-    blocks = -(-int(largest) // BLOCK_LIMIT)
     parts = max(1, min(200, permutations // 10))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int") if blocks > 1 else F.lit(0)
-    cells = cut_lineage(
-        rows.withColumn("block", block).groupBy("descriptor", "block", "grupo", "value")
-        .agg(F.count(F.lit(1)).alias("freq"))
-    )
+    if blocks == 1:
+        cells = rows.withColumn("block", F.lit(0))
+    else:
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        cells = rows.withColumn("block", block).groupBy("descriptor", "block", "grupo", "value").agg(
+            F.count(F.lit(1)).alias("freq"))
     per_task = (
         cells.join(F.broadcast(totals.select("descriptor")), "descriptor")
         .join(F.broadcast(types.select("descriptor", "tipo")), "descriptor")

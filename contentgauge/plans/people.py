@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contentgauge.functions import numbers, strata, text as T
 from contentgauge.operators import diet as D, legacy_score as J, quiz as QZ, skew as SK, stats as ST
 from contentgauge.operators.indicators import portion_label
-from contentgauge.operators.once import once
+from contentgauge.operators.shape import once
 from contentgauge.plans import sql_features as Q, views as V
 from contentgauge.plans.registry import ORACLES, query
 from contentgauge.plans.sql_features import rounded, text
@@ -104,7 +104,7 @@ def n02(spark, sf):
 
 
 THROTTLE_SQL = """
-seconds_v as materialized (select distinct event_id % 500 as item, epoch_us(ts) // 1000000 as sec from events)"""
+seconds_v as materialized (select distinct user_id as item, epoch_us(ts) // 1000000 as sec from events)"""
 COOL_DOWN = 86_400
 
 
@@ -112,7 +112,7 @@ COOL_DOWN = 86_400
 def n03(spark, sf):
     """Attempts a cool-down lets through, as the stream processor does it."""
     from contentgauge.streaming.feed import throttle_rows
-    e = V.table(spark, sf, "events").select((F.col("event_id") % 500).alias("item"), F.col("ts").cast("timestamp").alias("at"))
+    e = V.table(spark, sf, "events").select(F.col("user_id").alias("item"), F.col("ts").cast("timestamp").alias("at"))
     return throttle_rows(e, seconds=COOL_DOWN)
 
 
