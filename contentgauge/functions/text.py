@@ -141,8 +141,9 @@ class PhraseScan:
         return F.regexp_extract_all(folded, F.lit(self.pattern), F.lit(1))
 
     def count(self, hits: str, folded: str, phrases: Iterable[str]) -> Column:
-        """Occurrences of ``phrases``; ``hits`` and ``folded`` are column names."""
-        wanted = set(phrases)
+        """Occurrences of ``phrases`` (one listed twice counts twice); ``hits`` and
+        ``folded`` are column names."""
+        wanted = list(phrases)
         by_weight: dict[int, list[str]] = {}
         for phrase in self.listed:
             weight = sum(_opens_with(phrase, w) for w in wanted if w not in self.alone)
@@ -151,18 +152,19 @@ class PhraseScan:
         terms = [f"{w} * size(filter({hits}, h -> h in ({sql_list(g)})))" for w, g in sorted(by_weight.items())]
         terms += [
             f"regexp_count({folded}, {sql_text(rf'(?<![a-z0-9]){re.escape(p)}(?![a-z0-9])')})"
-            for p in self.alone if p in wanted
+            for p in wanted if p in self.alone
         ]
         return F.expr(" + ".join(terms) or "0")
 
 
 def count_phrases(folded: Column, phrases: Iterable[str]) -> Column:
     """Occurrences of a closed list, for short texts such as titles."""
+    phrases = list(phrases)
     scan = PhraseScan(phrases)
-    weights = {p: sum(_opens_with(p, w) for w in scan.listed) for p in scan.listed}
+    weights = {p: sum(_opens_with(p, w) for w in phrases if w not in scan.alone) for p in scan.listed}
     table = F.expr(f"map({', '.join(f'{sql_text(p)}, {w}' for p, w in weights.items())})")
     total = F.aggregate(scan.hits(folded), F.lit(0), lambda n, h: n + F.try_element_at(table, h))
-    for phrase in scan.alone:
+    for phrase in [p for p in phrases if p in scan.alone]:
         total = total + F.regexp_count(folded, F.lit(rf"(?<![a-z0-9]){re.escape(phrase)}(?![a-z0-9])"))
     return total
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,11 @@ def local_session(cpus: int | str = 8, app: str = "contentgauge") -> SparkSessio
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="contentgauge-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
@@ -37,9 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    chosen = tempfile.mkdtemp(prefix="contentgauge-")
-    spark.conf.set("spark.checkpoint.dir", chosen)
-    return chosen
+    return _own_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
