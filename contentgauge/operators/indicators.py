@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from contentgauge.functions import lexicons as L, links, strata
+from contentgauge.functions import lexicons as L, links
 from contentgauge.functions.numbers import flag, half_even, ratio
 from contentgauge.operators.shape import once, spread
 from contentgauge.functions.text import (
@@ -278,10 +278,7 @@ def _stages(lexicons: dict[str, dict[str, list[str]]], language_first: str) -> l
     listed = [p for lists in lexicons.values() for phrases in lists.values() for p in phrases]
     parts = Parts(lexicons, PhraseScan(listed + L.UNITS + L.NUMBER_WORDS))
     tag_text = F.array_join(F.coalesce(F.col("tags"), F.array().cast("array<string>")), " ")
-    category = F.coalesce(
-        F.nullif(F.col("category_name"), F.lit("")), strata.category_name(F.col("category_id")),
-        F.lit("sin_categoria"),
-    )
+    category = F.coalesce(F.nullif(F.col("category_name"), F.lit("")), F.lit("sin_categoria"))
     text = F.coalesce(F.col("transcript"), F.lit(""))
     inputs = {
         "et_idioma": lexicon_language(F.col("video_language"), F.col("transcript_lang"), language_first),

@@ -289,15 +289,17 @@ def retention(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """Retention per (person, video): raw, on the hard items, corrected for guessing.
 
     ``answers``: persona_id, pregunta_id, acierto, respondido_at, dias. Answers are
-    folded per (person, question) before they meet the questions, so a question
-    everybody answers stays small.
+    folded per (person, question) first; a question everybody answers is then dealt
+    over several tasks.
     """
+    from contentgauge.operators.skew import salted_join
+
     folded = answers.groupBy("persona_id", "pregunta_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(flag(F.col("acierto"))).alias("ok"),
         F.max("respondido_at").alias("t"), F.sum("dias").alias("days"), F.count("dias").alias("n_days"))
     usable = questions.where("utilizable").select("pregunta_id", "content_id", "dificil", "linea_base_acerto")
     hard, base = flag(F.col("dificil")), flag(F.col("linea_base_acerto"))
-    agg = folded.join(usable, "pregunta_id").groupBy("persona_id", F.col("content_id").alias("content_item_id")).agg(
+    agg = salted_join(folded, usable, "pregunta_id", "persona_id").groupBy("persona_id", F.col("content_id").alias("content_item_id")).agg(
         F.sum("n").alias("n_items"), F.sum("ok").alias("aciertos"), F.sum(F.col("n") * hard).alias("n_dificiles"),
         F.sum(F.col("ok") * hard).alias("aciertos_dificiles"), F.sum(F.col("n") * base).alias("_base"),
         F.max("t").alias("respondido_at"), F.sum("days").alias("_days"), F.sum("n_days").alias("_ndays"))

@@ -106,25 +106,42 @@ def running_total(
     return joined.withColumn(name, F.col("_inside") + F.col("_offset")).drop("_period", "_inside", "_offset")
 
 
+def _cell(column: str, low: str, span: str, cells: int) -> Column:
+    share = (F.col(column) - F.col(low)).cast("double") * cells / F.col(span)
+    return F.least(F.floor(share), F.lit(cells - 1)).cast("int")
+
+
 def numbered(df: DataFrame, value: str, row_id: str, name: str = "position", cells: int = 4096) -> DataFrame:
     """0-based position of every row ordered by (value desc, row_id asc), without one
-    global sort: positions inside a (value, id cell) plus the sizes of what precedes.
+    global sort: the place inside a (value, id cell) plus the sizes of what precedes.
 
-    ``row_id`` is a unique integer, so a cell holds no more rows than ids fit in it.
+    ``value`` is numeric and ``row_id`` a unique integer. Their ranges are cut into
+    cells: one window sees the value cells only, the next the values of one value cell,
+    the next the id cells of one value, the last the rows of one id cell, which are no
+    more than the ids that fit in it.
     """
-    span = df.agg(F.min(row_id).alias("_lo"), (F.max(row_id) - F.min(row_id) + 1).alias("_span"))
-    cell = F.floor((F.col(row_id) - F.col("_lo")).cast("double") * cells / F.col("_span")).cast("int")
-    placed = df.join(F.broadcast(span)).withColumn("_cell", cell).drop("_lo", "_span")
-    sizes = placed.groupBy(value, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    by_value = sizes.groupBy(value).agg(F.sum("_n").alias("_vn"))
-    above = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    by_value = by_value.select(value, F.coalesce(F.sum("_vn").over(above), F.lit(0)).alias("_v0"))
-    before = Window.partitionBy(value).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(value, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c0"))
+    span = df.agg(
+        F.min(row_id).alias("_ilo"), (F.max(row_id) - F.min(row_id) + 1).alias("_ispan"),
+        F.min(value).alias("_vlo"), (F.max(value) - F.min(value) + 1).alias("_vspan"))
+    placed = df.join(F.broadcast(span)).withColumns({
+        "_cell": _cell(row_id, "_ilo", "_ispan", cells), "_vcell": _cell(value, "_vlo", "_vspan", cells),
+    }).drop("_ilo", "_ispan", "_vlo", "_vspan")
+    sizes = placed.groupBy("_vcell", value, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    by_value = sizes.groupBy("_vcell", value).agg(F.sum("_n").alias("_vn"))
+    by_range = by_value.groupBy("_vcell").agg(F.sum("_vn").alias("_rn"))
+
+    def preceding(column: str, window) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    by_range = by_range.select("_vcell", preceding("_rn", Window.orderBy(F.desc("_vcell"))).alias("_r0"))
+    by_value = by_value.select(
+        "_vcell", value, preceding("_vn", Window.partitionBy("_vcell").orderBy(F.desc(value))).alias("_v0"))
+    starts = sizes.select(
+        "_vcell", value, "_cell", preceding("_n", Window.partitionBy("_vcell", value).orderBy("_cell")).alias("_c0"))
+    starts = starts.join(by_value, ["_vcell", value]).join(F.broadcast(by_range), "_vcell").select(
+        value, "_cell", (F.col("_r0") + F.col("_v0") + F.col("_c0")).alias("_start"))
     inside = Window.partitionBy(value, "_cell").orderBy(row_id)
     return (
-        placed.withColumn("_r", F.row_number().over(inside) - 1)
-        .join(sizes, [value, "_cell"]).join(by_value, value)
-        .withColumn(name, F.col("_v0") + F.col("_c0") + F.col("_r"))
-        .drop("_cell", "_r", "_v0", "_c0")
+        placed.withColumn("_r", F.row_number().over(inside) - 1).join(starts, [value, "_cell"])
+        .withColumn(name, F.col("_start") + F.col("_r")).drop("_cell", "_vcell", "_r", "_start")
     )

@@ -19,6 +19,7 @@ def described(spark: SparkSession, folder: str, corpus: str | None = None) -> Da
     items = items.withColumns({
         "formato": strata.category_format(F.col("category_id")),
         "duracion": strata.duration_bucket(F.col("duration_seconds")),
+        "category_name": strata.category_name(F.col("category_id")),
     })
     return describe(items, L.STAND_IN_LEXICONS)
 

@@ -98,13 +98,15 @@ def register(path: str) -> Callable[[DataFrame, int], None]:
 
 def throttle(attempts: DataFrame, seconds: int = RETRY_SECONDS) -> DataFrame:
     """Attempts (item, at) a cool-down lets through. State: second of the last one.
-    Attempts of a batch are folded per second before they reach the state."""
+    An item's rows are read batch by batch and only their distinct seconds are held."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        at = sorted(set(pd.concat([b["at"] for b in batches]).tolist()))
+        seconds_seen: set[int] = set()
+        for batch in batches:
+            seconds_seen.update(batch["at"].tolist())
         passed = []
-        for second in at:
+        for second in sorted(seconds_seen):
             if last is None or second - last >= seconds:
                 passed.append(second)
                 last = second
@@ -154,7 +156,10 @@ def time_out(progress: DataFrame, seconds: int = GIVE_UP_SECONDS, delay: str = "
             return
         started = state.get[0] if state.exists else None
         late: list[int] = []
-        for at, done in sorted((a, d) for b in batches for a, d in zip(b["us"].tolist(), b["done"].tolist())):
+        reports: set[tuple[int, bool]] = set()
+        for batch in batches:
+            reports.update(zip(batch["us"].tolist(), batch["done"].tolist()))
+        for at, done in sorted(reports):
             if started is not None and at - started > seconds * 1_000_000:
                 late.append(started)
                 started = None
@@ -198,8 +203,7 @@ def outcomes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def burst_windows(watches: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Viewing bursts as session windows. Viewings of the same second are folded first
-    in each task by Spark's partial aggregation."""
+    """Viewing bursts as session windows."""
     d = watches.withWatermark("watched_at", delay).groupBy("user_id", F.session_window("watched_at", gap).alias("w"))
     return d.agg(F.count(F.lit(1)).alias("videos")).select("user_id", "w.start", "w.end", "videos")
 

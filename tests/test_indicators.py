@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from contentgauge.functions import lexicons as L
+from contentgauge.functions import lexicons as L, strata
 from contentgauge.operators import indicators as I
 
 SCHEMA = """content_id long, transcript string, title string, description string, tags array<string>, category_id string,
@@ -17,7 +17,8 @@ def item(i, transcript="", title="", description=None, tags=None, category="25",
 
 
 def described(spark, *rows):
-    return {r.content_id: r for r in I.describe(spark.createDataFrame(rows, SCHEMA)).collect()}
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("category_name", strata.category_name(F.col("category_id")))
+    return {r.content_id: r for r in I.describe(df).collect()}
 
 
 def words(n):
