@@ -354,11 +354,3 @@ def consistency(passes: Column) -> Column:
     seen = F.filter(passes, lambda p: p.isNotNull())
     one = F.size(F.array_distinct(seen)) == 1
     return F.struct(one.alias("autoconsistente"), F.when(one, F.get(seen, F.lit(0))).alias("observado"))
-
-
-# ------------------------------------------------------------------ retention model
-
-
-def folds(df: DataFrame, item: str, k: int) -> DataFrame:
-    """Group k-fold: all rows of an item fall in one fold."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(item), F.lit(k)))

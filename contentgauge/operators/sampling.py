@@ -63,6 +63,7 @@ def sample_per_channel(cands: DataFrame, k: int, seed: str, id_: str = "external
 def contenders(cands: DataFrame, total: int, cap: int, reserve: int, seed: str) -> DataFrame:
     """All candidates that can take part in the draw or the reserve.
 
+    The ranking moves ids and cells only; the other columns are fetched for what stays.
     Nothing reachable is lost: a channel gives a cell at most ``cap`` items, so its best
     ``cap`` there are enough. The draw takes ``total`` items, so at most that many
     channels are ever used; a cell that walks its channels in order of their best
@@ -71,9 +72,9 @@ def contenders(cands: DataFrame, total: int, cap: int, reserve: int, seed: str)
     order. What stays does not depend on the number of candidates.
     """
     quota = max(1, total // 12)
-    keyed = cands.withColumns({
-        "_key": draw_key("external_id", seed, "sorteo"), "channel_id": F.coalesce("channel_id", F.lit("?")),
-    }).join(F.broadcast(cells(cands.sparkSession).withColumnsRenamed(dict(zip(["formato", "duracion"], CELL)))), CELL,
+    slim = cands.select("external_id", F.coalesce("channel_id", F.lit("?")).alias("channel_id"), *CELL,
+                        draw_key("external_id", seed, "sorteo").alias("_key"))
+    keyed = slim.join(F.broadcast(cells(cands.sparkSession).withColumnsRenamed(dict(zip(["formato", "duracion"], CELL)))), CELL,
             "left_semi")
     order = [F.col("_key"), F.col("external_id")]
     own = top_per_group(keyed, [*CELL, "channel_id"], order, cap, F.col("external_id"), rank="_in_channel")
@@ -81,8 +82,10 @@ def contenders(cands: DataFrame, total: int, cap: int, reserve: int, seed: str)
     channels = top_per_group(best, CELL, order, total + quota, F.col("channel_id")).select(*CELL, "channel_id")
     able = own.join(channels, [*CELL, "channel_id"], "left_semi").drop("_in_channel")
     spare = top_per_group(keyed, CELL, order, quota + reserve, F.col("external_id")).drop("rank")
-    return able.withColumn("_able", F.lit(True)).unionByName(
+    kept = able.withColumn("_able", F.lit(True)).unionByName(
         spare.join(able.select("external_id"), "external_id", "left_anti").withColumn("_able", F.lit(False)))
+    # at most 12 x ((total + quota) x cap + quota + reserve) rows, whatever the pool
+    return cands.drop("channel_id", *CELL).join(F.broadcast(kept), "external_id")
 
 
 def stratified_draw(cands: DataFrame, total: int = 396, cap: int = 2, reserve: int = 20, seed: str = "7") -> DataFrame:
@@ -138,11 +141,12 @@ def feasibility(cands: DataFrame, total: int, cap: int) -> DataFrame:
 
 
 def rebuild_reserve(cands: DataFrame, stored: DataFrame, per_cell: int, seed: str) -> DataFrame:
-    """Candidates not stored yet, the first ``per_cell`` of every cell in draw order."""
-    free = cands.join(stored.select("external_id"), "external_id", "left_anti")
-    keyed = free.withColumn("_key", draw_key("external_id", seed, "banco"))
-    return top_per_group(keyed, CELL, [F.col("_key"), F.col("external_id")], per_cell, F.col("external_id"),
-                         rank="orden").drop("_key")
+    """Candidates not stored yet, the first ``per_cell`` of every cell in draw order.
+    Ids are ranked; the few that stay fetch their columns."""
+    slim = cands.select("external_id", *CELL, draw_key("external_id", seed, "banco").alias("_key"))
+    free = slim.join(stored.select("external_id"), "external_id", "left_anti")
+    best = top_per_group(free, CELL, [F.col("_key"), F.col("external_id")], per_cell, F.col("external_id"), rank="orden")
+    return cands.join(F.broadcast(best.select("external_id", "orden")), "external_id")
 
 
 # ------------------------------------------------------------------ state and refill

@@ -28,18 +28,18 @@ def a07(spark, sf):
     return out.select("conv_id", (F.col("turn") * 2 + F.floor(F.col("pos") / 2)).cast("long").alias("pos"), F.md5("text").alias("digest"), "start", "duration")
 
 
-@query("a08_cue_captions", f"""select conv_id, (turn + 1)::bigint as cue, 'turno ' || turn || ' fin' as text, {rounded('turn * 65.5e0', 2)} as start,
+@query("a08_cue_captions", f"""select conv_id || '/' || turn as file, 1::bigint as cue, 'turno ' || turn || ' fin' as text, {rounded('turn * 65.5e0', 2)} as start,
   {rounded('(turn * 65.5e0 + 2.25e0) - turn * 65.5e0', 2)} as duration from conversations""")
 def a08(spark, sf):
-    """One cue per turn: a timing line, a tagged line twice, a header, a last line."""
+    """A file per turn with one cue: a timing line, a tagged line twice, a header, a last line."""
     c = V.table(spark, sf, "conversations").select("conv_id", "turn")
     clock = lambda s: F.concat(F.lit("00:"), F.floor(s / 60).cast("string"), F.lit(":"), (s % 60).cast("string"))
     begin = F.col("turn") * 65.5
     lines = F.array(
         F.concat(clock(begin), F.lit(" --> "), clock(begin + 2.25), F.lit(" align:start")), F.concat(F.lit("<c>turno "), F.col("turn").cast("string"), F.lit("</c>")),
         F.concat(F.lit("turno "), F.col("turn").cast("string")), F.lit("NOTE nada"), F.lit(" fin "))
-    rows = c.select("conv_id", "turn", F.posexplode(lines).alias("p", "line")).select("conv_id", (F.col("turn") * 10 + F.col("p")).alias("at"), "line")
-    return C.cue_segments(rows, "conv_id").select("conv_id", F.col("cue").cast("long").alias("cue"), "text", "start", "duration")
+    rows = c.select(F.concat_ws("/", "conv_id", "turn").alias("file"), F.posexplode(lines).alias("at", "line"))
+    return C.cue_segments(rows, "file").select("file", F.col("cue").cast("long").alias("cue"), "text", "start", "duration")
 
 
 # ------------------------------------------------------------------ API answers

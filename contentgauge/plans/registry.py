@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,13 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
     """Register a query; ``sql`` may use the domain views and the given CTEs."""
 
     def keep(build: Query) -> Query:
-        QUERIES[name] = build
+        @wraps(build)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            # the tables hold times without a zone; they are meant as UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return build(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = "with " + SQL_VIEWS + (",\n" + ctes if ctes else "") + "\n" + sql
         return build
