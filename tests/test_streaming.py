@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ def drop(tmp_path):
 
     def write(name, rows):
         (folder / name).write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows))
+        # files are read in the order of their times, which must differ
+        at = 1_700_000_000 + len(list(folder.iterdir()))
+        os.utime(folder / name, (at, at))
         return str(folder)
 
     return write
