@@ -57,7 +57,3 @@ def iso_seconds(c: Column, with_days: bool = False) -> Column:
     else:
         total = F.nullif(total, F.lit(0).cast("long"))
     return F.when(F.regexp_like(c, F.lit(full)), total)
-
-
-def ordered_share(n: Column, total: Column) -> Column:
-    return ratio(n, total)

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.operators.skew import latest_per_key
 
+# fixed value: the source of transcripts stored before sources were recorded
+FIRST_SOURCE = "supadata"
+
 
 def one_per_key(new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     return latest_per_key(new, keys, [F.col(c) for c in order])
@@ -107,7 +110,7 @@ def backfill_transcripts(items: DataFrame) -> DataFrame:
     count = F.size(F.split(F.trim("transcript"), r"\s+"))
     return items.withColumns({
         "transcript_is_generated": F.when(unmarked, True).otherwise(F.col("transcript_is_generated")),
-        "transcript_source": F.when(unmarked, "supadata").otherwise(F.col("transcript_source")),
+        "transcript_source": F.when(unmarked, FIRST_SOURCE).otherwise(F.col("transcript_source")),
         "transcript_word_count": F.when(has_text & F.col("transcript_word_count").isNull(), count)
         .otherwise(F.col("transcript_word_count")),
     })

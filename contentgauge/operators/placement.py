@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from contentgauge.functions import lexicons as L
 from contentgauge.functions.numbers import clean_number, flag, half_even, ratio
 from contentgauge.functions.text import blank_words
-from contentgauge.operators.scale import ALL, locate, long_form
+from contentgauge.operators.scale import ALL, locate
 from contentgauge.operators.skew import median_by
 
 OUT_OF_FRAME = "fuera_del_marco"

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contentgauge.functions import lexicons as L, numbers, strata, text as T
+from contentgauge.functions import lexicons as L, numbers, text as T
 from contentgauge.operators import indicators as I, scale as S
-from contentgauge.operators.skew import median_by
 from contentgauge.plans import sql_features as Q, views as V
-from contentgauge.plans.common import described, reference_histogram
+from contentgauge.plans.common import described
 from contentgauge.plans.registry import query
 from contentgauge.plans.sql_features import rounded, text
 

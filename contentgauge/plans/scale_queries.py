@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from contentgauge.functions import lexicons as L
 from contentgauge.operators import placement as P, scale as S, stats as T
-from contentgauge.operators.skew import histogram, median_by, quantile
 from contentgauge.plans import sql_features as Q, views as V
-from contentgauge.plans.common import described, fixed_plan, reference_histogram, reference_long, reference_scale
+from contentgauge.plans.common import described, reference_histogram, reference_long, reference_scale
 from contentgauge.plans.registry import query
 from contentgauge.plans.sql_features import rounded, text
 
