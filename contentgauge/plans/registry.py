@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from contentgauge.plans.views import SQL_VIEWS
+from contentgauge.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,7 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             # the tables hold times without a zone; they are meant as UTC
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship(spark)
             return build(spark, folder)
 
         QUERIES[name] = run
