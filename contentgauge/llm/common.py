@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contentgauge.session import scratch_path
+from contentgauge.session import scratch_path, ship
 
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -13,6 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Before Python runs on the workers: send them this package, and bound what one batch of
+    long texts takes."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there.
 
