@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.llm.common import BLANK
+from contentgauge.operators.shape import once
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -107,10 +108,10 @@ def _covered(windows: Column) -> Column:
             F.transform(at, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - i, F.lit(WINDOW)))),
             F.lit(0).cast("long"), lambda total, n: total + n)
 
-    def once(value: Column, f) -> Column:  # bind the value to a name, so it is computed once
+    def named(value: Column, f) -> Column:  # bind the value to a name, so it is computed once
         return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    return once(once(ordered, places), union)
+    return named(named(ordered, places), union)
 
 
 RATIOS = {
@@ -160,4 +161,4 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     names = docs.columns
     judged = assess(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"),
                                 F.col(f"`{text}`").alias("_body")), "_body")
-    return judged.where("kept").select(*[F.col("_doc")[c].alias(c) for c in names])
+    return once(judged, _kept=F.col("kept")).where("_kept").select(*[F.col("_doc")[c].alias(c) for c in names])
