@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from contentgauge.llm import bpe, chat, lines, packing, quality, secrets, simhash, vectors
+from contentgauge.llm import bpe, chat, lines, packing, quality, secrets, simhash, suffixes, vectors
 from contentgauge.llm.common import prepare, table
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -105,3 +105,9 @@ def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_copies(table(spark, folder, "embeddings"))
+
+
+@query
+def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
