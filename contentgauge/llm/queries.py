@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from contentgauge.llm import bpe, chat, lines, packing, quality, secrets, simhash, suffixes, vectors
+from contentgauge.llm import bpe, chat, lines, packing, pages, quality, secrets, simhash, suffixes, vectors
 from contentgauge.llm.common import prepare, table
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -111,3 +111,9 @@ def op2_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     cut = suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
+    found = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
