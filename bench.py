@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
     "entry_history_on_scale", "i01_validity_gate", "i05_mattr", "h05_i07_lexicon_rates", "i26_wide_table", "i03_pace",
-    "k06_permutation_test", "k06b_permutation_on_histogram", "k09_scale", "k10_cell_cuts", "k14_correlation_matrix",
+    "k06_permutation_test", "k09_scale", "k10_cell_cuts", "k14_correlation_matrix",
     "k15_c06_panel_placement", "k17_gold_rows", "l01_diet_rows", "l04_channel_concentration", "n07_bursts",
     "m02_quote_anchoring", "m06_f11_control_cascade", "m11_d04_retention", "a16_e03_upsert_rows",
     "a20_coalesce_merge", "b03_work_queue", "d02_stratum_state", "e05_m12_even_picks", "f06_stratified_draw",

@@ -7,6 +7,8 @@ version has to change too.
 from __future__ import annotations
 
 FEATURES_VERSION = "2.0"
+# fixed value: the version that stored panels carry
+PANEL_VERSION = "panel-1.0"
 FRAME_VERSION = "mm-2026-08-v1"
 
 # --- fixed values: the bilingual phrase lists --------------------------------

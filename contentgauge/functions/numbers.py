@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import math
 
 from pyspark.sql import Column, functions as F
@@ -38,7 +40,8 @@ def cap_width(c: Column, n: int) -> Column:
 
 def _iso_part(c: Column, pattern: str, unit: str) -> Column:
     digits = F.regexp_extract(c, pattern, 1) if unit == "" else F.regexp_extract(c, rf"(\d+){unit}", 1)
-    return F.coalesce(F.try_to_number(F.nullif(digits, F.lit("")), F.lit("9" * 9)).cast("long"), F.lit(0).cast("long"))
+    # null, not a wrong number, where the digits exceed a long
+    return F.when(digits == "", F.lit(0).cast("long")).otherwise(digits.try_cast("bigint"))
 
 
 def iso_seconds(c: Column, with_days: bool = False) -> Column:
@@ -49,11 +52,10 @@ def iso_seconds(c: Column, with_days: bool = False) -> Column:
     """
     full = r"^P(?:\d+D)?T(?:\d+H)?(?:\d+M)?(?:\d+S)?$" if with_days else r"^PT(?:\d+H)?(?:\d+M)?(?:\d+S)?$"
     clock = F.regexp_extract(c, r"T(.*)$", 1)
-    total = (
-        _iso_part(clock, "", "H") * 3600 + _iso_part(clock, "", "M") * 60 + _iso_part(clock, "", "S")
-    )
+    parts = [(_iso_part(clock, "", "H"), 3600), (_iso_part(clock, "", "M"), 60), (_iso_part(clock, "", "S"), 1)]
     if with_days:
-        total = total + _iso_part(c, r"^P(\d+)D", "") * 86400
-    else:
+        parts.append((_iso_part(c, r"^P(\d+)D", ""), 86400))
+    total = reduce(F.try_add, [F.try_multiply(part, F.lit(unit)) for part, unit in parts])
+    if not with_days:
         total = F.nullif(total, F.lit(0).cast("long"))
     return F.when(F.regexp_like(c, F.lit(full)), total)

@@ -37,7 +37,7 @@ def diet_rows(watches: DataFrame, items: DataFrame, key: str = "content_id") ->
     from contentgauge.operators.skew import salted_join
 
     slim = items.select(key, "duration_seconds", "upload_date")
-    joined = salted_join(timed, slim, key, "event_id", "left")
+    joined = salted_join(timed, slim, key, "event_id", "left", raw=watches.select(key))
     return joined.select(
         "event_id", "user_id", key, age_days(F.col("watched_at"), F.col("upload_date")).alias("dieta_edad_al_ver_dias"),
         "dieta_hora_local", "dieta_dia", half_even(F.col("dieta_gap_min"), 6).alias("dieta_gap_min"),

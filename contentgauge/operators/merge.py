@@ -1,8 +1,7 @@
 """Key-based merges: overwrite, partial overwrite, insert-if-absent, coalesce.
 
-The stored side may be huge and the incoming side usually is not. The stored side is
-therefore never grouped or unioned into a shuffle: incoming rows are folded to one per
-key and meet it in a join, which Spark turns into a broadcast when they are few.
+The stored side may be huge. It is read once and never grouped: incoming rows are folded
+to one per key and meet it in one join (a full outer one where new keys are added).
 """
 
 from __future__ import annotations
@@ -23,8 +22,16 @@ def one_per_key(new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 def overwrite(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Upsert: the latest incoming row of a key replaces the stored row whole."""
-    rows = one_per_key(new, keys, order)
-    return old.join(rows.select(*keys), list(keys), "left_anti").unionByName(rows.select(*old.columns))
+    rest = [c for c in old.columns if c not in keys]
+    both = _met(old, one_per_key(new, keys, order), keys, rest)
+    row = F.coalesce("_new", "_old")
+    return both.select(*[F.col(c) if c in keys else row[c].alias(c) for c in old.columns])
+
+
+def _met(old: DataFrame, rows: DataFrame, keys: Sequence[str], rest: Sequence[str]) -> DataFrame:
+    """Stored and incoming rows of a key side by side; each side is read once."""
+    packed = rows.select(*keys, F.struct(*rest).alias("_new"))
+    return old.select(*keys, F.struct(*rest).alias("_old")).join(packed, list(keys), "full_outer")
 
 
 def overwrite_columns(
@@ -35,17 +42,16 @@ def overwrite_columns(
 
     ``touched``: columns set on rows that existed and were replaced.
     """
-    rows = one_per_key(new, keys, order)
-    hit = F.col("_new").isNotNull()
-    packed = rows.select(*keys, F.struct(*replaced).alias("_new"))
-    touched = touched or {}
-    merged = old.join(packed, list(keys), "left").select(*[
-        F.when(hit, touched[c]).otherwise(F.col(c)).alias(c) if c in touched
-        else F.when(hit, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in replaced else F.col(c)
-        for c in old.columns
-    ])
-    fresh = rows.join(old.select(*keys), list(keys), "left_anti")
-    return merged.unionByName(fresh.select(*old.columns))
+    rest, touched = [c for c in old.columns if c not in keys], touched or {}
+    both = _met(old, one_per_key(new, keys, order), keys, rest)
+    stored, hit = F.col("_old"), F.col("_new").isNotNull()
+
+    def value(c: str) -> Column:
+        before = F.when(hit, touched[c]).otherwise(stored[c]) if c in touched else (
+            F.when(hit, F.col("_new")[c]).otherwise(stored[c]) if c in replaced else stored[c])
+        return F.when(stored.isNull(), F.col("_new")[c]).otherwise(before).alias(c)
+
+    return both.select(*[F.col(c) if c in keys else value(c) for c in old.columns])
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

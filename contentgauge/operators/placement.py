@@ -179,7 +179,7 @@ def gold_rows(placed: DataFrame, computed_at: Column, frame: str = L.FRAME_VERSI
                                          "et_trazabilidad", "et_navegabilidad", "et_calidad_dato",
                                          "et_idioma", "et_categoria_yt")])
     return placed.select(
-        F.col(key).alias("content_item_id"), F.lit(L.FEATURES_VERSION).alias("features_version"),
+        F.col(key).alias("content_item_id"), F.lit(L.PANEL_VERSION).alias("features_version"),
         computed_at.alias("computed_at"), F.lit(frame).alias("frame_version"), "formato", apt.alias("apto"),
         F.col("v_cobertura_transcripcion").alias("cobertura_transcripcion"),
         not_measurable_reason(F.col("v_tiene_transcripcion"), F.col("v_transcripcion_completa"),
@@ -198,7 +198,7 @@ def same_frame(gold: DataFrame, frame: str) -> DataFrame:
 
 
 def split_by_freshness(items: DataFrame, gold: DataFrame, frame: str = L.FRAME_VERSION,
-                       version: str = L.FEATURES_VERSION) -> tuple[DataFrame, DataFrame]:
+                       version: str = L.PANEL_VERSION) -> tuple[DataFrame, DataFrame]:
     """(stored rows still valid, items to compute again).
 
     Valid: same frame, same features version, a panel, and a transcript not fetched

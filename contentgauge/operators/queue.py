@@ -30,7 +30,7 @@ def no_text(transcript: Column) -> Column:
 
 def due(items: DataFrame, now: Column, worker: bool = True, force: bool = False, ids: list[str] | None = None,
         limit: int | None = None) -> DataFrame:
-    """Items to enrich, those never scheduled first, then by turn and age.
+    """Items to enrich; with a ``limit`` those never scheduled first, then by turn and age.
 
     The worker takes items without a transcript whose turn has come; the long run
     also takes items without description or status.
@@ -47,8 +47,9 @@ def due(items: DataFrame, now: Column, worker: bool = True, force: bool = False,
     if ids:
         out = out.where(F.col("external_id").isin(ids))
     out = out.withColumn("attempts", F.coalesce("attempts", F.lit(0)))
-    ordered = out.orderBy(F.asc_nulls_first("next_attempt_at"), "created_at", "external_id")
-    return ordered.limit(limit) if limit else ordered
+    if not limit:  # a whole queue is left in any order: sorting it moves every row
+        return out
+    return out.orderBy(F.asc_nulls_first("next_attempt_at"), "created_at", "external_id").limit(limit)
 
 
 def should_retry(transcript: Column, status: Column, last: Column, now: Column) -> Column:
@@ -59,12 +60,12 @@ def should_retry(transcript: Column, status: Column, last: Column, now: Column)
 
 
 def pending_panels(items: DataFrame, gold: DataFrame, corpus: str | None = None, limit: int | None = None) -> DataFrame:
-    """Items with text and no gold row, oldest first."""
+    """Items with text and no gold row; with a ``limit`` the oldest."""
     rows = items.where(F.trim(F.coalesce("transcript", F.lit(""))) != "")
     if corpus:
         rows = rows.where(F.col("corpus") == corpus)
-    rows = rows.join(gold.select(F.col("content_item_id").alias("id")), "id", "left_anti").orderBy("created_at", "id")
-    return rows.limit(limit) if limit else rows
+    rows = rows.join(gold.select(F.col("content_item_id").alias("id")), "id", "left_anti")
+    return rows.orderBy("created_at", "id").limit(limit) if limit else rows
 
 
 def permanent_failure(errors: Column) -> Column:

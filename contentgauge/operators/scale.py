@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contentgauge.functions import lexicons as L
@@ -20,8 +18,6 @@ from contentgauge.session import cut_lineage
 
 GRID = [i / 100 for i in range(101)]
 ALL = "_todos"
-SHUFFLE_LIMIT = 500_000      # rows x shuffles of a descriptor up to which rows themselves are shuffled
-BLOCK_LIMIT = 500_000_000    # largest population one hypergeometric draw takes
 
 
 def long_form(wide: DataFrame, keys: Sequence[str], descriptors: Sequence[str] = tuple(L.PANEL)) -> DataFrame:
@@ -77,121 +73,72 @@ def group_range(grouped: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def permutation_test(
-    rows: DataFrame, permutations: int = L.PERMUTATIONS, seed: int = 20260812, shuffle_limit: int = SHUFFLE_LIMIT,
-    types: DataFrame | None = None,
+    rows: DataFrame, permutations: int = L.PERMUTATIONS, seed: int = 20260812, types: DataFrame | None = None,
 ) -> DataFrame:
     """Do groups differ more than shuffled labels would make them differ?
 
-    ``rows``: descriptor, id, grupo, value. Returns descriptor, tipo, frac_cero, n,
-    rango and p_permutacion: the share of shuffles whose range reaches the real one,
-    null under 40 rows or 2 groups.
+    ``rows``: descriptor, id, grupo, value, one row per descriptor and id. Returns descriptor,
+    tipo, frac_cero, n, rango and p_permutacion: the share of shuffles whose range reaches the
+    real one, null under 40 rows or 2 groups.
 
-    Up to ``shuffle_limit`` rows x shuffles per descriptor the rows are put in md5 order
-    for every shuffle. Beyond, the labels are drawn on the value histogram: dealing
-    shuffled labels to rows and counting them per value is a multivariate
-    hypergeometric draw, so its cost depends on distinct values, not on rows.
+    A shuffle orders the ids by md5(id:shuffle:seed); the groups take the rows of a descriptor in
+    that order. One order serves all descriptors, and the same rule holds for every size.
     """
-    complete = rows.where(F.col("value").isNotNull() & F.col("grupo").isNotNull())
-    # the only reading of the texts, unless rows are few enough to be shuffled themselves
-    hist = cut_lineage(histogram(rows, ["descriptor", "grupo"], "value"))
+    rows = cut_lineage(rows.select("descriptor", "id", "grupo", "value"))  # the only reading of the texts
+    hist = histogram(rows, ["descriptor", "grupo"], "value")
     types = kinds(hist) if types is None else types
     usable = hist.where(F.col("grupo").isNotNull())
-    sizes = usable.groupBy("descriptor", "grupo").agg(F.sum("freq").alias("m"))
-    totals = sizes.groupBy("descriptor").agg(
-        F.sum("m").alias("_rows"), F.count(F.lit(1)).alias("_groups"),
-        F.sort_array(F.collect_list(F.struct("grupo", "m"))).alias("_sizes"),
-    ).where("_rows >= 40 and _groups >= 2")
     typed = usable.join(F.broadcast(types.select("descriptor", "tipo")), "descriptor")
-    real = group_range(typed, ["descriptor"])
-    largest = totals.agg(F.max("_rows")).first()[0] or 0
-    if largest * permutations <= shuffle_limit:
-        null = _shuffled_rows(complete, types, totals, permutations, seed)
+    real = cut_lineage(group_range(typed, ["descriptor"]))
+    sizes = typed.groupBy("descriptor", "tipo", "grupo").agg(F.sum("freq").alias("m"))
+    # a row per descriptor and group
+    groups: dict[tuple[str, str], list[int]] = {}
+    for r in sorted(sizes.collect()):
+        groups.setdefault((r["descriptor"], r["tipo"]), []).append(r["m"])
+    tested = {k: v for k, v in groups.items() if sum(v) >= 40 and len(v) >= 2}
+    if tested:
+        null = _shuffled(rows.where(F.col("grupo").isNotNull()), tested, permutations, seed)
+        reached = null.withColumnRenamed("rango", "azar").join(F.broadcast(real), "descriptor").groupBy("descriptor").agg(
+            F.avg(F.when(F.col("azar") >= F.col("rango"), 1.0).otherwise(0.0)).alias("p"))
     else:
-        blocks = -(-int(largest) // BLOCK_LIMIT)
-        null = _drawn_tables(usable if blocks == 1 else complete, types, totals, permutations, seed, blocks)
-    reached = (
-        null.withColumnRenamed("rango", "azar").join(F.broadcast(real), "descriptor")
-        .groupBy("descriptor").agg(F.avg(F.when(F.col("azar") >= F.col("rango"), 1.0).otherwise(0.0)).alias("p"))
-    )
+        reached = types.select("descriptor", F.lit(None).cast("double").alias("p"))
     return (
         types.join(F.broadcast(real), "descriptor", "left").join(F.broadcast(reached), "descriptor", "left")
         .select("descriptor", "tipo", "frac_cero", "n", "rango", half_even(F.col("p"), 4).alias("p_permutacion"))
     )
 
 
-def _shuffled_rows(rows, types, totals, permutations, seed):
-    """Each shuffle orders the rows by md5; the groups take that order in turn."""
-    dealt = (
-        cut_lineage(rows.select("descriptor", "id", "value")).join(F.broadcast(totals), "descriptor")
-        .join(F.broadcast(types.select("descriptor", "tipo")), "descriptor")
-        .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    )
-    key = F.md5(F.concat_ws(":", "id", "perm", F.lit(seed)))
-    order = Window.partitionBy("descriptor", "perm").orderBy(key, "id")
-    # end of each group's run of positions
-    ends = F.transform("_sizes", lambda x, i: F.aggregate(F.slice("_sizes", 1, i + 1), F.lit(0).cast("long"),
-                                                          lambda acc, y: acc + y["m"]))
-    dealt = dealt.withColumn("_ends", ends).withColumn("_at", F.row_number().over(order))
-    grupo = F.size(F.filter("_ends", lambda e: e < F.col("_at")))
-    grouped = dealt.groupBy("descriptor", "perm", "tipo", grupo.alias("grupo"), "value").agg(
-        F.count(F.lit(1)).alias("freq")
-    )
-    return group_range(grouped, ["descriptor", "perm"])
-
-
-def _drawn_tables(rows, types, totals, permutations, seed, blocks):
-    """Labels drawn on the histogram, a share of the shuffles per task.
+def _shuffled(rows: DataFrame, tested: dict[tuple[str, str], list[int]], permutations: int, seed: int) -> DataFrame:
+    """(descriptor, perm, rango) of every shuffle.
 
-    Populations above BLOCK_LIMIT are split into blocks by the hash of the id and
-    labels are shuffled inside blocks, a permutation test in its own right; only then
-    ``rows`` are rows, else they are the histogram already.
+    A row's place among the rows of its descriptor is its place inside a slice of the shuffle
+    (ids whose md5 begins alike) plus the sizes of the slices before; no task orders a whole
+    shuffle. Places become groups by the groups' sizes, and only counts per value go on.
     """
-    parts = max(1, min(200, permutations // 10))
-    if blocks == 1:
-        cells = rows.withColumn("block", F.lit(0))
-    else:
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-        cells = rows.withColumn("block", block).groupBy("descriptor", "block", "grupo", "value").agg(
-            F.count(F.lit(1)).alias("freq"))
-    per_task = (
-        cells.join(F.broadcast(totals.select("descriptor")), "descriptor")
-        .join(F.broadcast(types.select("descriptor", "tipo")), "descriptor")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    )
-
-    def draw(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        descriptor, part = key
-        values, at = np.unique(cells["value"].to_numpy(), return_inverse=True)
-        groups, who = np.unique(cells["grupo"].to_numpy(), return_inverse=True)
-        presence = cells["tipo"].iloc[0] == "presencia"
-        out = []
-        for perm in range(part, permutations, parts):
-            rng = np.random.default_rng([seed, perm, *descriptor.encode()])
-            table = np.zeros((len(groups), len(values)), dtype=np.int64)
-            for _, inside in cells.groupby("block").indices.items():
-                left = np.bincount(at[inside], cells["freq"].to_numpy()[inside], len(values)).astype(np.int64)
-                wanted = np.bincount(who[inside], cells["freq"].to_numpy()[inside], len(groups)).astype(np.int64)
-                for g, m in enumerate(wanted):
-                    got = rng.multivariate_hypergeometric(left, m, method="marginals")
-                    table[g] += got
-                    left = left - got
-            stats = [_presence(values, t) if presence else _cut(values, t) for t in table if t.sum()]
-            out.append((descriptor, perm, round(max(stats) - min(stats), 9)))
-        return pd.DataFrame(out, columns=["descriptor", "perm", "rango"])
-
-    return per_task.groupBy("descriptor", "part").applyInPandas(draw, "descriptor string, perm int, rango double")
-
-
-def _presence(values: np.ndarray, counts: np.ndarray) -> float:
-    return float(counts[values > 0].sum() / counts.sum())
-
-
-def _cut(values: np.ndarray, counts: np.ndarray) -> float:
-    ends = np.cumsum(counts)
-    position = (ends[-1] - 1) / 3.0
-    low = int(np.floor(position))
-    a, b = values[np.searchsorted(ends, [low + 1, min(low + 2, ends[-1])])]
-    return float(a + (b - a) * (position - low))
+    names = [d for d, _ in tested]
+    wide = rows.where(F.col("descriptor").isin(names)).groupBy("id").agg(
+        *[F.max(F.when(F.col("descriptor") == d, F.col("value"))).alias(f"v{k}") for k, d in enumerate(names)])
+    dealt = wide.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    dealt = dealt.withColumn("key", F.md5(F.concat_ws(":", "id", "perm", F.lit(seed))))
+    dealt = dealt.withColumn("slice", F.substring("key", 1, 2))
+    counts = dealt.groupBy("perm", "slice").agg(*[F.count(f"v{k}").alias(f"n{k}") for k in range(len(names))])
+    earlier = Window.partitionBy("perm").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("perm", "slice", *[
+        F.coalesce(F.sum(f"n{k}").over(earlier), F.lit(0)).alias(f"b{k}") for k in range(len(names))])
+    inside = Window.partitionBy("perm", "slice").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.select("perm", "slice", *[c for k in range(len(names)) for c in (
+        f"v{k}", F.count(f"v{k}").over(inside).alias(f"r{k}"))]).join(before, ["perm", "slice"])
+    cells = []
+    for k, ((d, tipo), sizes) in enumerate(tested.items()):
+        at, ends = F.col(f"r{k}") + F.col(f"b{k}"), [sum(sizes[:i + 1]) for i in range(len(sizes) - 1)]
+        value = F.col(f"v{k}")
+        if tipo == "presencia":  # only whether it is there counts
+            value = F.when(value.isNotNull(), (value > 0).cast("double"))
+        grupo = sum([(at > e).cast("int") for e in ends], F.lit(0))
+        cells.append(F.struct(F.lit(d).alias("descriptor"), F.lit(tipo).alias("tipo"), grupo.alias("grupo"), value.alias("value")))
+    grouped = placed.select("perm", F.inline(F.array(*cells))).where("value is not null").groupBy(
+        "descriptor", "perm", "tipo", "grupo", "value").agg(F.count(F.lit(1)).alias("freq"))
+    return group_range(grouped, ["descriptor", "perm"])
 
 
 # ------------------------------------------------------------------ the scale

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 32
+ROWS_PER_TASK = 2_000_000
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -48,29 +49,28 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return folded.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys that own more than ``share`` of the rows: at most 1 / share of them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    limit = F.broadcast(total)
-    return counts.join(limit, F.col("_n") > F.col("_total") * share).select(key)
+def hot_keys(df: DataFrame, key: str, per_task: int) -> DataFrame:
+    """(key, _salts): keys with more rows than a task should hold, and over how many to deal them."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_task)
+    return counts.select(key, F.ceil(F.col("_n") / per_task).cast("int").alias("_salts"))
 
 
 def salted_join(
-    rows: DataFrame, lookup: DataFrame, key: str, row_id: str, how: str = "inner", share: float = 0.02,
-    salts: int = SALTS,
+    rows: DataFrame, lookup: DataFrame, key: str, row_id: str, how: str = "inner", per_task: int = ROWS_PER_TASK,
+    raw: DataFrame | None = None,
 ) -> DataFrame:
     """rows ⋈ lookup on ``key`` where a few keys may hold most of ``rows``.
 
-    Rows of a hot key are dealt over ``salts`` tasks and only the lookup rows of the
-    hot keys (at most 1 / share of them) are repeated. Plan side only, no action.
+    Rows of a hot key are dealt over as many tasks as its own count asks for, and only the
+    lookup rows of hot keys are repeated as often. Keys are counted on ``raw``, a cheaper table
+    with the same keys (``rows`` where there is none). Plan side only, no action.
     """
-    hot = hot_keys(rows, key, share).withColumn("_hot", F.lit(True))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = lookup.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    # no more keys than rows / per_task, half a million for 10^12 rows
+    hot = F.broadcast(hot_keys(raw if raw is not None else rows, key, per_task))
+    dealt = rows.join(hot, key, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    repeated = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
 
 

@@ -35,15 +35,11 @@ def reference_long(spark: SparkSession, folder: str) -> DataFrame:
     return S.long_form(wide.withColumnsRenamed({"content_id": "id", "formato": "grupo"}), ["id", "grupo"])
 
 
-def fixed_plan(hist: DataFrame) -> DataFrame:
-    """Types from the data, scope per format wherever a descriptor is a presence one.
-    Stands for the permutation test where a query is about something else."""
-    return S.kinds(hist).withColumns({
-        "ambito": F.when(F.col("tipo") == "presencia", "por_formato").otherwise("global"),
-        "p_permutacion": F.lit(None).cast("double"),
-    })
+def tested(spark: SparkSession, folder: str) -> DataFrame:
+    """The permutation test on the reference items, scope decided."""
+    return S.decide(S.permutation_test(reference_long(spark, folder)))
 
 
 def reference_scale(spark: SparkSession, folder: str) -> DataFrame:
-    hist = reference_histogram(spark, folder)
-    return cut_lineage(S.build_scale(hist, fixed_plan(hist)))
+    """Test, decision and scale."""
+    return cut_lineage(S.build_scale(reference_histogram(spark, folder), tested(spark, folder)))

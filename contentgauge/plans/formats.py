@@ -12,7 +12,7 @@ from contentgauge.sources import captions as C, media_api as A, quiz_files as Z,
 # ------------------------------------------------------------------ captions
 
 
-@query("a07_json3_captions", f"""select conv_id, (turn * 2 + h)::bigint as pos, md5(trim(left(text, 5) || case h when 0 then ' a' else 'b ' end, ' ')) as digest,
+@query("a07_json3_captions", f"""select conv_id, (turn * 2 + h)::bigint as pos, md5(trim(text || case h when 0 then ' a' else 'b ' end, ' ')) as digest,
   {rounded('(turn * 1234 + h) / 1e3', 2)} as start, {rounded('case h when 0 then 0 else turn end / 1e3', 2)} as duration
   from conversations, (select unnest([0, 1]) as h)""")
 def a07(spark, sf):
@@ -20,7 +20,7 @@ def a07(spark, sf):
     c = V.table(spark, sf, "conversations")
     event = lambda h, tail: F.struct(
         (F.col("turn") * 1234 + h).alias("tStartMs"), (F.lit(None) if h == 0 else F.col("turn")).cast("bigint").alias("dDurationMs"),
-        F.array(F.struct(F.left("text", F.lit(5)).alias("utf8")), F.struct(F.lit(tail).alias("utf8"))).alias("segs"))
+        F.array(F.struct(F.col("text").alias("utf8")), F.struct(F.lit(tail).alias("utf8"))).alias("segs"))
     empty = F.struct(F.lit(0).cast("bigint").alias("tStartMs"), F.lit(0).cast("bigint").alias("dDurationMs"),
                      F.array(F.struct(F.lit(" ").alias("utf8"))).alias("segs"))
     rows = c.select("conv_id", "turn", F.array(event(0, " a"), empty, event(1, "b ")).alias("events"))
@@ -28,17 +28,18 @@ def a07(spark, sf):
     return out.select("conv_id", (F.col("turn") * 2 + F.floor(F.col("pos") / 2)).cast("long").alias("pos"), F.md5("text").alias("digest"), "start", "duration")
 
 
-@query("a08_cue_captions", f"""select conv_id || '/' || turn as file, 1::bigint as cue, 'turno ' || turn || ' fin' as text, {rounded('turn * 65.5e0', 2)} as start,
-  {rounded('(turn * 65.5e0 + 2.25e0) - turn * 65.5e0', 2)} as duration from conversations""")
+@query("a08_cue_captions", f"""select conv_id as file, row_number() over (partition by conv_id order by turn) as cue, 'turno ' || turn || ' ' || md5(text) || ' fin' as text,
+  {rounded('turn * 65.5e0', 2)} as start, {rounded('(turn * 65.5e0 + 2.25e0) - turn * 65.5e0', 2)} as duration from conversations""")
 def a08(spark, sf):
-    """A file per turn with one cue: a timing line, a tagged line twice, a header, a last line."""
-    c = V.table(spark, sf, "conversations").select("conv_id", "turn")
+    """A file per conversation, a cue per turn: a timing line, a tagged line twice, a header, the text's digest, a last line."""
+    c = V.table(spark, sf, "conversations").select("conv_id", "turn", "text")
     clock = lambda s: F.concat(F.lit("00:"), F.floor(s / 60).cast("string"), F.lit(":"), (s % 60).cast("string"))
     begin = F.col("turn") * 65.5
     lines = F.array(
         F.concat(clock(begin), F.lit(" --> "), clock(begin + 2.25), F.lit(" align:start")), F.concat(F.lit("<c>turno "), F.col("turn").cast("string"), F.lit("</c>")),
-        F.concat(F.lit("turno "), F.col("turn").cast("string")), F.lit("NOTE nada"), F.lit(" fin "))
-    rows = c.select(F.concat_ws("/", "conv_id", "turn").alias("file"), F.posexplode(lines).alias("at", "line"))
+        F.concat(F.lit("turno "), F.col("turn").cast("string")), F.lit("NOTE nada"), F.md5("text"), F.lit(" fin "))
+    rows = c.select(F.col("conv_id").alias("file"), "turn", F.posexplode(lines).alias("k", "line")).select(
+        "file", (F.col("turn") * 10 + F.col("k")).alias("at"), "line")
     return C.cue_segments(rows, "file").select("file", F.col("cue").cast("long").alias("cue"), "text", "start", "duration")
 
 
@@ -130,12 +131,12 @@ def a15(spark, sf):
     return S.without_nan(d)
 
 
-@query("a14_a03_csv_round_trip", "select doc_id, md5(text) as digest, lang from documents where text <> ''")
+@query("a14_a03_csv_round_trip", "select doc_id, md5(text) as digest, lang from documents")
 def a14(spark, sf):
     """Whole texts written as CSV to the shared folder and read again."""
     from contentgauge.session import scratch_path
     path = scratch_path(spark, "csv")
-    S.write_csv(V.table(spark, sf, "documents").where("text <> ''").select("doc_id", "text", "lang"), path)
+    S.write_csv(V.table(spark, sf, "documents").select("doc_id", "text", "lang"), path)
     return S.read_items_csv(spark, path, "doc_id bigint, text string, lang string").select("doc_id", F.md5("text").alias("digest"), "lang")
 
 

@@ -226,7 +226,7 @@ def m03(spark, sf):
 OPTIONS_SQL = f"""
 opts as (select event_id, [floor(value)::bigint || case when event_id % 3 = 0 then ' euros' else ' goles' end, (event_id % 90 + 1) || ' euros',
    (event_id % 7 + 2) || case when event_id % 11 = 0 then ' millones de euros' else ' euros' end, props] as o1,
-   [event_type, repeat('x', (event_id % 12 + 1)::int), event_type || ' y algo', 'otra cosa'] as o2, (event_id % 4)::int as c from events where value >= 1),
+   [event_type, repeat('x', (event_id % 12 + 1)::int), event_type || ' y algo', 'otra cosa'] as o2, (event_id % 4)::int as c from events),
 picked as (select event_id, case when event_id % 2 = 0 then o1 else o2 end as o, c from opts),
 form as (select *, list_transform(o, lambda x: trim(regexp_replace(regexp_replace(strip_accents(lower(x)), '[^a-z0-9ñ ]+', ' ', 'g'), '\\s+', ' ', 'g'))) as f from picked),
 parts as (select *, list_transform(f, lambda x: coalesce(list_filter(string_split(x, ' '), lambda w: w <> '' and not regexp_full_match(w, '[0-9]+') and not list_contains({EMPTY}, w))[-1], '')) as units,
@@ -245,7 +245,7 @@ def m04(spark, sf):
         F.concat(s(e % 90 + 1), F.lit(" euros")),
         F.concat(s(e % 7 + 2), F.when(e % 11 == 0, " millones de euros").otherwise(" euros")), F.col("props"))
     two = F.array(F.col("event_type"), F.repeat(F.lit("x"), (e % 12 + 1).cast("int")), F.concat("event_type", F.lit(" y algo")), F.lit("otra cosa"))
-    d = V.table(spark, sf, "events").where("value >= 1").select("event_id", F.when(e % 2 == 0, one).otherwise(two).alias("o"), (e % 4).cast("int").alias("c"))
+    d = V.table(spark, sf, "events").select("event_id", F.when(e % 2 == 0, one).otherwise(two).alias("o"), (e % 4).cast("int").alias("c"))
     r = QZ.balance(F.col("o"), F.col("c"))["motivo"]
     return d.select("event_id", F.regexp_replace(r, r"_(?:x[0-9.]+|\[.*)$", "").alias("motivo"))
 
@@ -353,8 +353,8 @@ def scored(spark, sf):
   where not (persona_id % 7 = 0 and content_id % 3 = 0)""", ANSWERED_SQL)
 def m10(spark, sf):
     seen = V.watches(spark, sf).groupBy("content_id").agg(F.min("watched_at").alias("watched_at"))
-    people = V.answers(spark, sf).select("persona_id").distinct().where("persona_id % 7 = 0")
-    skipped = people.select("persona_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 3, 6, 9)])).alias("content_id"))
+    about = V.answers(spark, sf).join(V.questions(spark, sf), "pregunta_id")
+    skipped = about.where("persona_id % 7 = 0 and content_id % 3 = 0").select("persona_id", "content_id").distinct()
     d = QZ.score_answers(V.answers(spark, sf), V.questions(spark, sf), seen, skipped)
     return d.select("persona_id", "pregunta_id", stamp("respondido_at").alias("t"), "eleccion", "acierto", "dias_transcurridos")
 
@@ -384,10 +384,9 @@ def d05(spark, sf):
     return usable.join(F.broadcast(done))
 
 
-@query("c04_unanswered", "select pregunta_id, content_id from question_v where content_id not in (select q.content_id from answer_v a join question_v q using (pregunta_id) where a.persona_id = 3 and a.pregunta_id % 2 = 1)")
+@query("c04_unanswered", "select pregunta_id, content_id from question_v where content_id not in (select q.content_id from answer_v a join question_v q using (pregunta_id) where a.persona_id = 3)")
 def c04(spark, sf):
-    answers = V.answers(spark, sf).where("pregunta_id % 2 = 1")
-    return QZ.unanswered(V.questions(spark, sf), answers, "3").select("pregunta_id", "content_id")
+    return QZ.unanswered(V.questions(spark, sf), V.answers(spark, sf), "3").select("pregunta_id", "content_id")
 
 
 @query("e06_first_videos", """select content_id, count(*)::bigint as preguntas from question_v where content_id in (

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from contentgauge.functions import lexicons as L
 from contentgauge.operators import placement as P, scale as S, stats as T
 from contentgauge.plans import sql_features as Q, views as V
-from contentgauge.plans.common import described, reference_histogram, reference_long, reference_scale
+from contentgauge.plans.common import described, reference_histogram, reference_scale, tested
 from contentgauge.plans.registry import query
 from contentgauge.plans.sql_features import rounded, text
 
 GRID_SQL = "[" + ", ".join(f"{i}e0/1e2" for i in range(101)) + "]"
-PERMS, SEED = 200, 20260812
+PERMS, SEED = L.PERMUTATIONS, 20260812
 
 KINDS = Q.LONG + """,
 ref as materialized (select * from long where corpus = 'referencia' and apt),
@@ -32,15 +32,33 @@ def _block(keys: str, scope: str, where: str = "true") -> str:
   from ref where value is not null and {where} group by {keys} having count(*) >= 8"""
 
 
-BLOCKS = KINDS + f""",
+PERMUTED = KINDS + f""",
+labelled as materialized (select descriptor, content_id as id, formato as grupo, value from ref where value is not null and formato is not null),
+sizes as (select descriptor, grupo, count(*) as m from labelled group by all),
+ends as (select descriptor, list(e order by grupo) as ends, sum(m) as n, count(*) as g from (
+  select *, sum(m) over (partition by descriptor order by grupo) as e from sizes) group by descriptor),
+real_stat as (select descriptor, round_even((max(s) - min(s)) * 1e9, 0)::double / 1e9 as rango from (
+  select l.descriptor, grupo, case when any_value(k.tipo) = 'presencia' then avg((value > 0)::int::double) else quantile_cont(value, 1e0/3e0) end as s
+  from labelled l join kinds k using (descriptor) group by l.descriptor, grupo) group by descriptor),
+shuffled as (select descriptor, perm, value, row_number() over (partition by descriptor, perm order by md5(id || ':' || perm || ':{SEED}'), id) as at
+  from labelled, range(0, {PERMS}) t(perm)),
+null_stat as (select descriptor, perm, round_even((max(s) - min(s)) * 1e9, 0)::double / 1e9 as rango from (
+  select s.descriptor, perm, len(list_filter(e.ends, lambda x: x < s.at)) as g,
+   case when any_value(k.tipo) = 'presencia' then avg((value > 0)::int::double) else quantile_cont(value, 1e0/3e0) end as s
+  from shuffled s join ends e using (descriptor) join kinds k using (descriptor) where e.n >= 40 and e.g >= 2 group by all) group by all),
+tested as (select k.descriptor, k.tipo, k.n, r.rango, {rounded('avg((x.rango >= r.rango)::int::double)', 4)} as p_permutacion
+  from kinds k left join real_stat r using (descriptor) left join null_stat x using (descriptor) group by k.descriptor, k.tipo, k.n, r.rango)"""
+
+
+BLOCKS = PERMUTED + f""",
 blocks as materialized ({_block('descriptor', "'_todos'")} union all {_block('descriptor, formato', 'formato', 'formato is not null')}),
 scale as materialized (
- select b.descriptor, k.tipo, case when k.tipo = 'presencia' then 'por_formato' else 'global' end as ambito, scope, b.n,
+ select b.descriptor, k.tipo, case when t.p_permutacion < 0.05 then 'por_formato' else 'global' end as ambito, scope, b.n,
   case when k.tipo = 'presencia' then p_ausencia end as p_ausencia, case when k.tipo = 'presencia' then n_presentes end as n_presentes,
   case when k.tipo <> 'presencia' then p25 end as p25, case when k.tipo = 'presencia' then mediana_presentes else p50 end as p50,
   case when k.tipo <> 'presencia' then p75 end as p75, {rounded('frac_cero', 4)} as frac_cero,
-  case when k.tipo = 'presencia' then grid_presentes else grid end as grid
- from blocks b join kinds k using (descriptor) where k.tipo = 'presencia' or scope = '_todos')"""
+  case when k.tipo = 'presencia' then grid_presentes else grid end as grid, t.p_permutacion
+ from blocks b join kinds k using (descriptor) join tested t using (descriptor) where t.p_permutacion < 0.05 or scope = '_todos')"""
 
 PLACED = BLOCKS + """,
 hist_rows as materialized (select * from long where corpus = 'historial' and apt),
@@ -138,38 +156,14 @@ def k05(spark, sf):
         "descriptor", "n", S.half_even(F.col("frac_cero"), 6).alias("frac_cero"), "tipo")
 
 
-PERMUTED = KINDS + f""",
-labelled as materialized (select descriptor, content_id as id, formato as grupo, value from ref where value is not null and formato is not null),
-sizes as (select descriptor, grupo, count(*) as m from labelled group by all),
-ends as (select descriptor, list(e order by grupo) as ends, sum(m) as n, count(*) as g from (
-  select *, sum(m) over (partition by descriptor order by grupo) as e from sizes) group by descriptor),
-real_stat as (select descriptor, round_even((max(s) - min(s)) * 1e9, 0)::double / 1e9 as rango from (
-  select l.descriptor, grupo, case when any_value(k.tipo) = 'presencia' then avg((value > 0)::int::double) else quantile_cont(value, 1e0/3e0) end as s
-  from labelled l join kinds k using (descriptor) group by l.descriptor, grupo) group by descriptor),
-shuffled as (select descriptor, perm, value, row_number() over (partition by descriptor, perm order by md5(id || ':' || perm || ':{SEED}'), id) as at
-  from labelled, range(0, {PERMS}) t(perm)),
-null_stat as (select descriptor, perm, round_even((max(s) - min(s)) * 1e9, 0)::double / 1e9 as rango from (
-  select s.descriptor, perm, len(list_filter(e.ends, lambda x: x < s.at)) as g,
-   case when any_value(k.tipo) = 'presencia' then avg((value > 0)::int::double) else quantile_cont(value, 1e0/3e0) end as s
-  from shuffled s join ends e using (descriptor) join kinds k using (descriptor) where e.n >= 40 and e.g >= 2 group by all) group by all),
-tested as (select k.descriptor, k.tipo, k.n, r.rango, {rounded('avg((x.rango >= r.rango)::int::double)', 4)} as p_permutacion
-  from kinds k left join real_stat r using (descriptor) left join null_stat x using (descriptor) group by k.descriptor, k.tipo, k.n, r.rango)"""
-
-
 @query("k06_permutation_test", "select descriptor, tipo, n, rango, p_permutacion from tested", PERMUTED)
 def k06(spark, sf):
-    return S.permutation_test(reference_long(spark, sf), PERMS, SEED).select("descriptor", "tipo", "n", "rango", "p_permutacion")
+    return tested(spark, sf).select("descriptor", "tipo", "n", "rango", "p_permutacion")
 
 
 @query("k07_scope", "select descriptor, tipo, case when p_permutacion < 0.05 then 'por_formato' else 'global' end as ambito from tested", PERMUTED)
 def k07(spark, sf):
-    return S.decide(S.permutation_test(reference_long(spark, sf), PERMS, SEED)).select("descriptor", "tipo", "ambito")
-
-
-@query("k06b_permutation_on_histogram")
-def k06b(spark, sf):
-    """The same test with the labels drawn on the value histogram."""
-    return S.permutation_test(reference_long(spark, sf), PERMS, SEED, shuffle_limit=0)
+    return tested(spark, sf).select("descriptor", "tipo", "ambito")
 
 
 BLOCK_COLUMNS = "descriptor, scope, n, n_presentes, p_ausencia, p25, p50, p75, mediana_presentes"
@@ -185,9 +179,9 @@ def k08(spark, sf):
         total("grid_presentes").alias("suma_presentes"))
 
 
-@query("k09_scale", f"select {text(L.FRAME_VERSION)} as frame_version, descriptor, tipo, ambito, scope, n, p_ausencia, n_presentes, p25, p50, p75, frac_cero from scale", BLOCKS)
+@query("k09_scale", f"select {text(L.FRAME_VERSION)} as frame_version, descriptor, tipo, ambito, scope, n, p_ausencia, n_presentes, p25, p50, p75, p_permutacion, frac_cero from scale", BLOCKS)
 def k09(spark, sf):
-    return reference_scale(spark, sf).drop("grid", "bloque", "p_permutacion")
+    return reference_scale(spark, sf).drop("grid", "bloque")
 
 
 @query("k09b_scale_corpus", f"""select {text(L.FRAME_VERSION)} as frame_version, count(*)::bigint as n_filas,
@@ -274,7 +268,7 @@ def k16(spark, sf):
     return history(spark, sf).drop(*L.PANEL)
 
 
-@query("k17_gold_rows", """select g.content_id as content_item_id, '2.0' as features_version, g.formato, g.apt as apto,
+@query("k17_gold_rows", """select g.content_id as content_item_id, 'panel-1.0' as features_version, g.formato, g.apt as apto,
   case when n = 0 then 'sin_transcripcion' when not complete then 'transcripcion_incompleta' when category_id is null then 'sin_metadatos' end as motivo_no_apto,
   nullif(len(list_filter(regexp_split_to_array(trim(transcript, E' \\t\\n\\r'), '\\s+'), lambda w: w <> '')), 0)::bigint as n_words, lang,
   coalesce(trim(description), '') <> '' as has_description, p.ritmo_ppm_pct, p.mattr_200_pct
@@ -389,7 +383,7 @@ def b09(spark, sf):
         F.when(i % 7 == 0, day(F.lit(9)))))
     gold = c.select(
         i.alias("content_item_id"), F.when(i % 5 == 0, "old").otherwise(L.FRAME_VERSION).alias("frame_version"),
-        F.when(i % 3 == 0, "1.0").otherwise(L.FEATURES_VERSION).alias("features_version"),
+        F.when(i % 3 == 0, "1.0").otherwise(L.PANEL_VERSION).alias("features_version"),
         F.when(i % 4 == 0, None).otherwise("[]").alias("panel"), day(F.lit(2)).alias("computed_at"))
     hits, misses = P.split_by_freshness(items, gold)
     return hits.select(F.col("content_item_id").alias("content_id"), F.lit("hit").alias("plan")).unionByName(

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-PAGES_USED = 50
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def size(spark: SparkSession, folder: str, name: str):
+    """Rows of a table, as a value inside a plan."""
+    return table(spark, folder, name).agg(F.count(F.lit(1))).scalar()
+
+
 def content(spark: SparkSession, folder: str) -> DataFrame:
-    """Items. Descriptions come from the first 50 pages, a side of fixed size."""
-    docs = table(spark, folder, "documents")
-    pages = table(spark, folder, "pages").where(F.col("page_id").between(0, PAGES_USED - 1))
-    d = docs.join(F.broadcast(pages), docs.doc_id % PAGES_USED == pages.page_id, "left")
+    """Items. Descriptions come from the pages, dealt over the documents."""
+    docs = table(spark, folder, "documents").withColumn("_page", F.col("doc_id") % size(spark, folder, "pages"))
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    d = docs.join(pages, F.col("_page") == F.col("page_id"), "left")
     doc_id = F.col("doc_id")
     return d.select(
         doc_id.alias("content_id"),
@@ -35,7 +38,7 @@ def content(spark: SparkSession, folder: str) -> DataFrame:
 
 def watches(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").where("event_type = 'view'").select(
-        "event_id", "user_id", (F.col("event_id") % 200).alias("content_id"),
+        "event_id", "user_id", (F.col("event_id") % size(spark, folder, "documents")).alias("content_id"),
         F.col("ts").cast("timestamp").alias("watched_at"),
     )
 
@@ -56,7 +59,7 @@ def raters(spark: SparkSession, folder: str) -> DataFrame:
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     i = F.col("item_id")
     return table(spark, folder, "benchmark").select(
-        i.alias("pregunta_id"), (i % 10).alias("content_id"), (i % 4).cast("int").alias("correcta"),
+        i.alias("pregunta_id"), (i % size(spark, folder, "documents")).alias("content_id"), (i % 4).cast("int").alias("correcta"),
         (i % 9 != 0).alias("utilizable"), (i % 3 == 0).alias("linea_base_acerto"), (i % 3 != 0).alias("dificil"),
     )
 
@@ -64,7 +67,7 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     e = F.col("event_id")
     return table(spark, folder, "events").where("event_type = 'click'").select(
-        F.col("user_id").alias("persona_id"), (e % 40).alias("pregunta_id"),
+        F.col("user_id").alias("persona_id"), (e % size(spark, folder, "benchmark")).alias("pregunta_id"),
         (F.floor("value").cast("int") % 4).alias("eleccion"),
         F.col("ts").cast("timestamp").alias("respondido_at"), (e % 14).alias("dias"),
     )
@@ -82,17 +85,17 @@ select d.doc_id as content_id, d.text as transcript, d.source as channel, d.lang
        when d.doc_id % 4 = 2 then '24' else '20' end as category_id,
   case when d.doc_id % 4 = 3 or d.doc_id % 11 = 0 then 'historial' else 'referencia' end as corpus,
   case when d.doc_id % 5 = 0 then 3 when d.doc_id % 7 = 0 then null else 0 end as n_chapters
-from documents d left join pages p on p.page_id = d.doc_id % 50),
+from documents d left join pages p on p.page_id = d.doc_id % (select count(*) from pages)),
 watch_v as (
-select event_id, user_id, event_id % 200 as content_id, ts as watched_at from events where event_type = 'view'),
+select event_id, user_id, event_id % (select count(*) from documents) as content_id, ts as watched_at from events where event_type = 'view'),
 segment_v as (
 select conv_id as content_id, cast(turn * 17.0 as double) as start_s, text from conversations),
 rater_v as (
 select doc_id as content_id, case when quality = 1 then 'si' else 'no' end as a,
   case when toxic = 1 then 'si' else 'no' end as b from labels),
 question_v as (
-select item_id as pregunta_id, item_id % 10 as content_id, cast(item_id % 4 as int) as correcta,
+select item_id as pregunta_id, item_id % (select count(*) from documents) as content_id, cast(item_id % 4 as int) as correcta,
   item_id % 9 <> 0 as utilizable, item_id % 3 = 0 as linea_base_acerto, item_id % 3 <> 0 as dificil from benchmark),
 answer_v as (
-select user_id as persona_id, event_id % 40 as pregunta_id, cast(floor(value) as int) % 4 as eleccion,
+select user_id as persona_id, event_id % (select count(*) from benchmark) as pregunta_id, cast(floor(value) as int) % 4 as eleccion,
   ts as respondido_at, event_id % 14 as dias from events where event_type = 'click')"""

@@ -24,8 +24,10 @@ def read_log(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     """All batches, or an empty table before the first one."""
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
+        stored = spark.read.schema(fields).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], fields).withColumn("batch", F.lit(0).cast("long"))
     return stored.select(*fields.fieldNames(), F.col("batch").cast("long").alias("batch"))
 

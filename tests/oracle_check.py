@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -83,7 +84,7 @@ def main():
     import __spark_entry__ as entry
 
     folder = f"/root/testdata/sf{sys.argv[1]}"
-    spark = local_session(8)
+    spark = local_session(os.environ.get("CPUS", "8"))
     spark.sparkContext.setLogLevel("FATAL")
     con, queries, oracle = connect(folder), entry.queries(), entry.oracle_sql()
     wanted = [q for q in queries if not sys.argv[2:] or any(q.startswith(p) for p in sys.argv[2:])]

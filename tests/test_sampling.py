@@ -97,8 +97,8 @@ def test_top_of_a_hot_group(spark, k):
 def test_salted_join_equals_a_plain_join(spark):
     rows = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
     look = spark.range(45).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for how in ("inner", "left"):
-        a = SK.salted_join(rows, look, "k", "id", how).select("id", "k", "v")
+    for how, per_task in (("inner", 100), ("left", 100), ("left", 10**6)):
+        a = SK.salted_join(rows, look, "k", "id", how, per_task).select("id", "k", "v")
         b = rows.join(look, "k", how).select("id", "k", "v")
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
