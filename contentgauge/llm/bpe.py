@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHED = 300_000
+CACHED = 600_000
+SHORT = 200
 
 
 def byte_symbols() -> list[str]:
@@ -87,23 +89,101 @@ class Vocabulary:
         return text.replace("Σ", "σ").lower() if "Lowercase" in self.normal else text
 
     def merged(self, tokens: list[int]) -> list[int]:
-        """All merges of a sequence of ids, lowest rank first, left to right."""
-        rules = self.rules
-        while len(tokens) > 1:
-            best = min((rules[p] + p for p in zip(tokens, tokens[1:], strict=False) if p in rules), default=None)
-            if best is None:
+        """All merges of a sequence of ids, lowest rank first, left to right: a heap over linked places."""
+        rules, n = self.rules, len(tokens)
+        tokens, after, before = tokens.copy(), [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(rules[p][0], k) for k, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in rules]
+        heapify(heap)
+        while heap:
+            rank, k = heappop(heap)
+            following = after[k]
+            rule = rules.get((tokens[k], tokens[following])) if tokens[k] >= 0 and following < n else None
+            if rule is None or rule[0] != rank:
+                continue  # one of the two has been merged since
+            tokens[k], tokens[following], after[k] = rule[1], -1, after[following]
+            if after[k] < n:
+                before[after[k]] = k
+                rule = rules.get((tokens[k], tokens[after[k]]))
+                if rule:
+                    heappush(heap, (rule[0], k))
+            if before[k] >= 0:
+                rule = rules.get((tokens[before[k]], tokens[k]))
+                if rule:
+                    heappush(heap, (rule[0], before[k]))
+        return [t for t in tokens if t >= 0]
+
+
+class Lockstep:
+    """Merges many short pieces at once. Every round, each piece applies its lowest rule wherever it
+    occurs; pieces without a rule are done. Rules are found in a hash table over pairs of ids."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, rules: dict[tuple[int, int], tuple[int, int]]):
+        keys = np.array([a << 17 | b for a, b in rules], np.uint64)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.key, self.rank, self.made = (np.zeros(1 << self.bits, k) for k in (np.uint64, np.int32, np.int32))
+        self.rank[:] = self.NONE
+        self.key[:] = np.iinfo(np.uint64).max
+        ranks, made = (np.array([r[k] for r in rules.values()], np.int32) for k in (0, 1))
+        self.probes, at, left = 0, self._slot(keys), np.arange(len(keys))
+        while len(left):  # linear probing, all at once: the first to claim a free slot has it
+            self.probes += 1
+            slot = at[left]
+            free = left[self.rank[slot] == self.NONE]
+            won = free[np.unique(at[free], return_index=True)[1]]
+            self.key[at[won]], self.rank[at[won]], self.made[at[won]] = keys[won], ranks[won], made[won]
+            left = np.setdiff1d(left, won)
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank or NONE, slot) of each pair."""
+        keys = left.astype(np.uint64) << np.uint64(17) | right.astype(np.uint64)
+        slot = self._slot(keys)
+        rank = np.where(self.key[slot] == keys, self.rank[slot], self.NONE)
+        open_ = np.flatnonzero((self.key[slot] != keys) & (self.rank[slot] != self.NONE))
+        for _ in range(1, self.probes):
+            if not len(open_):
                 break
-            _, made, a, b = best
-            out, k, last = [], 0, len(tokens) - 1
-            while k <= last:
-                if k < last and tokens[k] == a and tokens[k + 1] == b:
-                    out.append(made)
-                    k += 2
-                else:
-                    out.append(tokens[k])
-                    k += 1
-            tokens = out
-        return tokens
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            same = self.key[slot[open_]] == keys[open_]
+            rank[open_[same]] = self.rank[slot[open_[same]]]
+            open_ = open_[~same & (self.rank[slot[open_]] != self.NONE)]
+        return rank, slot
+
+    def run(self, tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """``tokens`` of all pieces in a row, ``sizes`` their lengths (at least one); 32-bit ids of each."""
+        done: list[bytes] = [b""] * len(sizes)
+        piece = np.arange(len(sizes))
+        while len(piece):
+            starts = np.cumsum(sizes) - sizes
+            rank, slot = self.find(tokens, np.append(tokens[1:], 0))
+            rank[starts + sizes - 1] = self.NONE  # a pair does not reach into the next piece
+            least = np.minimum.reduceat(rank, starts)
+            over = least == self.NONE
+            if over.any():
+                for k in np.flatnonzero(over).tolist():
+                    done[piece[k]] = tokens[starts[k]:starts[k] + sizes[k]].tobytes()
+                stay = np.repeat(~over, sizes)
+                tokens, rank, slot = tokens[stay], rank[stay], slot[stay]
+                piece, sizes, least = piece[~over], sizes[~over], least[~over]
+                if not len(piece):
+                    break
+            owner = np.repeat(np.arange(len(piece)), sizes)
+            hit = np.flatnonzero(rank == least[owner])
+            if len(hit) > 1:  # of places that overlap, every second one from the left
+                new = np.append(True, np.diff(hit) > 1)
+                run = np.maximum.accumulate(np.where(new, np.arange(len(hit)), 0))
+                hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            tokens[hit] = self.made[slot[hit]]
+            stay = np.ones(len(tokens), bool)
+            stay[hit + 1] = False
+            sizes = sizes - np.bincount(owner[hit], minlength=len(piece))
+            tokens = tokens[stay]
+        return done
 
 
 class Transducer:
@@ -139,32 +219,57 @@ class Transducer:
 
 
 class Encoder:
-    """Ids of whole texts. Units (runs without white space) are kept in a bounded memory."""
+    """Ids of whole texts. Words (runs without white space) and pieces are kept in a bounded memory;
+    short pieces are merged together, long ones stream through a transducer."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.words = re.compile(f"[^{SPACE}]+").findall
+        self.lockstep = Lockstep(vocabulary.rules)
+        self.byte_id = np.array([vocabulary.ids[s] for s in vocabulary.symbols], np.int32)
+        self.last_id = np.array([vocabulary.ids[s + vocabulary.end] for s in vocabulary.symbols], np.int32)
         self.known: dict[str, bytes] = {}
-
-    def unit(self, text: str) -> Iterator[int]:
-        for k, part in enumerate(self.v.cut.split(text)):
-            if k % 2:
-                yield self.v.special[part]
-                continue
-            for piece in self.v.pieces.findall(self.v.normalised(part)):
+        self.piece: dict[str, bytes] = {}
+
+    def _pieces(self, word: str) -> list[str]:
+        """Pieces of a word; a special token is a piece of its own."""
+        if not self.v.cut.search(word):
+            return self.v.pieces.findall(self.v.normalised(word))
+        parts = self.v.cut.split(word)
+        return [x for k, part in enumerate(parts) for x in ([part] if k % 2 else self.v.pieces.findall(self.v.normalised(part)))]
+
+    def _learn(self, pieces: list[str]) -> None:
+        short = []
+        for piece in pieces:
+            if piece in self.v.special:
+                self.piece[piece] = np.array([self.v.special[piece]], np.int32).tobytes()
+            elif len(piece) > SHORT:
                 transducer = Transducer(self.v)
-                yield from transducer.feed(piece.encode())
-                yield from transducer.finish()
+                ids = [*transducer.feed(piece.encode())]
+                self.piece[piece] = np.array(ids + transducer.finish(), np.int32).tobytes()
+            else:
+                short.append(piece)
+        if short:
+            coded = [p.encode() for p in short]
+            sizes = np.array([*map(len, coded)])
+            raw = np.frombuffer(b"".join(coded), np.uint8)
+            tokens, ends = self.byte_id[raw], np.cumsum(sizes) - 1
+            tokens[ends] = self.last_id[raw[ends]]
+            self.piece.update(zip(short, self.lockstep.run(tokens, sizes), strict=True))
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's ids begin and the last ends)."""
-        units = [self.words(t) if t else [] for t in texts]
-        present = set().union(*units)
+        words = [self.words(t) if t else [] for t in texts]
+        present = set().union(*words)
         if len(self.known) + len(present) > CACHED:  # what is frequent is in this batch as well
-            self.known = {u: self.known[u] for u in present & self.known.keys()}
-        for u in present - self.known.keys():
-            self.known[u] = np.fromiter(self.unit(u), np.int32).tobytes()
-        ids = [b"".join(map(self.known.__getitem__, u)) for u in units]
+            self.known = {w: self.known[w] for w in present & self.known.keys()}
+        if len(self.piece) > CACHED:
+            self.piece = {}
+        parts = {w: self._pieces(w) for w in present - self.known.keys()}
+        self._learn([*set().union(*parts.values()) - self.piece.keys()])
+        for w, found in parts.items():
+            self.known[w] = b"".join([self.piece[p] for p in found])
+        ids = [b"".join(map(self.known.__getitem__, w)) for w in words]
         ends = np.cumsum([0, *map(len, ids)]) // 4
         return np.frombuffer(b"".join(ids), np.int32), ends
 
@@ -178,7 +283,7 @@ class Decoder:
         self.text = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        tokens = [t for t in map(self.v.tokens.get, ids) if t is not None]
+        tokens = [*filter(None, map(self.v.tokens.get, ids))]
         if self.v.decoder is None:
             lead = " " if self.begun and tokens else ""
             self.begun = self.begun or bool(tokens)
