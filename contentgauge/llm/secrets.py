@@ -39,7 +39,7 @@ class CharClass:
 
 CLASSES = (
     CharClass("0-9A-Fa-f", 32, 3.0, "[0-9]"),
-    CharClass("0-9A-Za-z+/_=-", 24, 4.0, "(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
+    CharClass("0-9A-Za-z+/_=-", 24, 4.0, "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
 )
 # candidates that are no secrets: sample values, UUIDs, plain counting, web and mail names
 ALLOWED = (
