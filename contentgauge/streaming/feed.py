@@ -87,8 +87,11 @@ def register(path: str) -> Callable[[DataFrame, int], None]:
     does not see its own rows, so it writes the same ones."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = read_log(batch.sparkSession, path, StructType.fromDDL(ITEM)).where(F.col("batch") != batch_id)
-        write_batch(merge.insert_absent(stored, items_of(batch), "external_id", ["watched_at", "title"]), path, batch_id)
+        rows = items_of(batch).persist()
+        stored = read_log(batch.sparkSession, path, ITEM, rows.select("external_id")).where(F.col("batch") != batch_id)
+        fresh = merge.insert_absent(stored, rows, "external_id", ["watched_at", "title"])
+        write_batch(fresh, path, batch_id, "external_id")
+        rows.unpersist()
 
     return write
 
@@ -96,15 +99,20 @@ def register(path: str) -> Callable[[DataFrame, int], None]:
 # ------------------------------------------------------------------ N3, N4: throttle and time-out
 
 
-def throttle(attempts: DataFrame, seconds: int = RETRY_SECONDS) -> DataFrame:
-    """Attempts (item, at) a cool-down lets through. State: second of the last one.
-    An item's rows are read batch by batch and only their distinct seconds are held."""
+def throttle(attempts: DataFrame, seconds: int = RETRY_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Attempts (item, at) a cool-down lets through. State: second of the last one, which goes
+    when the watermark has passed the cool-down, so only items of that time are held. Attempts
+    later than ``delay`` are dropped. An item's rows are read batch by batch and only their
+    distinct seconds are held."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         seconds_seen: set[int] = set()
         for batch in batches:
-            seconds_seen.update(batch["at"].tolist())
+            seconds_seen.update(batch["second"].tolist())
         passed = []
         for second in sorted(seconds_seen):
             if last is None or second - last >= seconds:
@@ -112,12 +120,14 @@ def throttle(attempts: DataFrame, seconds: int = RETRY_SECONDS) -> DataFrame:
                 last = second
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max((last + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"item": [key[0]] * len(passed), "at": passed})
 
     kind = attempts.schema["item"].dataType.simpleString()
-    slim = attempts.select("item", F.floor(F.unix_micros("at") / 1_000_000).cast("long").alias("at"))
+    second = F.floor(F.unix_micros("at") / 1_000_000).cast("long")
+    slim = attempts.withWatermark("at", delay).select("item", "at", second.alias("second"))
     return slim.groupBy("item").applyInPandasWithState(
-        step, f"item {kind}, at bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+        step, f"item {kind}, at bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttle_rows(attempts: DataFrame, seconds: int = RETRY_SECONDS) -> DataFrame:
@@ -190,7 +200,7 @@ def write_outcomes(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = merge.one_per_key(batch.select(*StructType.fromDDL(OUTCOME).fieldNames()), ["external_id"], ["enriched_at"])
         cleared = F.when(F.col("enrichment_status") == "ok", None).otherwise(F.col("enrichment_error"))
-        write_batch(rows.withColumn("enrichment_error", cleared), path, batch_id)
+        write_batch(rows.withColumn("enrichment_error", cleared), path, batch_id, "external_id")
 
     return write
 
@@ -231,12 +241,13 @@ def maintain_gold(path: str, scale: DataFrame, gold_schema: StructType, lexicons
     on the scale and stored, measurable or not. ``scale`` is small and broadcast."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        log = read_log(spark, path, gold_schema).where(F.col("batch") != batch_id)
+        rows = batch.persist()
+        log = read_log(batch.sparkSession, path, gold_schema, rows.select("id")).where(F.col("batch") != batch_id)
         stored = current(log, ["content_item_id"], ["computed_at"])
-        _, misses = placement.split_by_freshness(batch, stored, frame)
+        _, misses = placement.split_by_freshness(rows, stored, frame)
         placed = placement.panel_rows(describe(with_strata(misses), lexicons), scale, "id")
         at = computed_at if computed_at is not None else F.current_timestamp()
-        write_batch(placement.gold_rows(placed, at, frame, "id"), path, batch_id)
+        write_batch(placement.gold_rows(placed, at, frame, "id"), path, batch_id, "content_item_id")
+        rows.unpersist()
 
     return write

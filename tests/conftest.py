@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from contentgauge.session import local_session
 
-    session = local_session(8, "tests")
+    session = local_session(os.environ.get("CPUS", "8"), "tests")
     session.sparkContext.setLogLevel("FATAL")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session

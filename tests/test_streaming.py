@@ -143,5 +143,8 @@ def test_gold_rows_are_kept_up_to_date(spark, drop, tmp_path):
     run(N.start(stream(spark, folder, ITEMS), write_at("2026-01-03 00:00:00"), str(tmp_path / "c")))
     rows = T.read_log(spark, path, schema).where("content_item_id = 1")
     assert sorted(r.n_words for r in rows.collect()) == [1500, 1501] and L.FRAME_VERSION == rows.first().frame_version
-    T.compact(spark, path, str(tmp_path / "compact"), schema, ["content_item_id"], ["computed_at"])
-    assert T.read_log(spark, str(tmp_path / "compact"), schema).where("content_item_id = 1").first().n_words == 1501
+    before = sorted(map(str, T.current(T.read_log(spark, path, schema), ["content_item_id"], ["computed_at"]).collect()))
+    T.compact(spark, path, schema, ["content_item_id"], ["computed_at"])
+    log = T.read_log(spark, path, schema)
+    assert sorted(map(str, T.current(log, ["content_item_id"], ["computed_at"]).collect())) == before
+    assert log.where("content_item_id = 1").first().n_words == 1501 and log.select("batch").distinct().count() == 1
