@@ -349,26 +349,28 @@ def _merge_runs(length: int, gram: int):
     return run
 
 
-MEMBERS = pa.schema([("row", pa.int64()), ("place", pa.int64()), ("key", pa.binary())])
+MEMBERS = pa.schema([("row", pa.int64()), ("key", pa.binary()), ("places", pa.list_(pa.int64()))])
 
 
 def _keys(length: int, crowded: bool):
-    """For each anchor its key; of crowded ones, each window's place and key."""
+    """Of every document the keys of its anchors and the places of each key: text that repeats
+    itself within a document makes one row, not one per place. Of crowded anchors, the same for windows."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             columns = (batch[c].to_pylist() for c in ("row", "text", "places"))
             for row, packed, places in zip(*columns, strict=True):
-                text, out = unpack(packed), []
+                text, found = unpack(packed), {}
                 for place, most, least, crowd in _places(places):
                     if crowd != crowded:
                         continue
                     if crowded:
-                        out += [(row, s, xxhash.xxh3_128_digest(text[s:s + length]))
-                                for s in range(place - most, place - least + 1)]
+                        for s in range(place - most, place - least + 1):
+                            found.setdefault(xxhash.xxh3_128_digest(text[s:s + length]), []).append(s)
                     else:
-                        out.append((row, place, _key(*surroundings(text, place, most, least, length))))
+                        found.setdefault(_key(*surroundings(text, place, most, least, length)), []).append(place)
+                out = [(row, key, at) for key, at in found.items()]
                 for at in range(0, len(out), 20_000):
                     yield _batch(out[at:at + 20_000], MEMBERS)
 
@@ -425,15 +427,15 @@ def remove_repeats(
     runs = held.mapInArrow(_build_runs(length, gram, buckets), "bucket int, shared binary, sizes binary, rest binary, "
                            "left_sizes binary, lefts binary, twice binary")
     same = store(runs.groupBy("bucket").applyInArrow(_merge_runs(length, gram), "key binary, least long, most long"), "repeats")
-    members = held.mapInArrow(_keys(length, False), "row long, place long, key binary")
-    spans = members.join(same, "key").select(
-        "row", (F.col("place") - F.col("most")).alias("begin"), (F.col("place") - F.col("least") + length).alias("end"))
+    members = held.mapInArrow(_keys(length, False), "row long, key binary, places array<long>")
+    spans = members.join(same, "key").select("row", "places", "least", "most")
     windows = held.where(F.exists("places", lambda p: p.bitwiseAND(F.lit(1)) == 1)).mapInArrow(
-        _keys(length, True), "row long, place long, key binary")
-    # a window's key with its count is combined before the shuffle; a place counts once
-    often = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    crowd_spans = windows.join(often, "key").select("row", F.col("place").alias("begin"), (F.col("place") + length).alias("end"))
-    spans = spans.unionByName(crowd_spans).groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+        _keys(length, True), "row long, key binary, places array<long>")
+    # a window's key with its count is combined before the shuffle
+    often = windows.groupBy("key").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("key")
+    zero = F.lit(0).cast("long")
+    crowd_spans = windows.join(often, "key").select("row", "places", zero.alias("least"), zero.alias("most"))
+    spans = spans.unionByName(crowd_spans).groupBy("row").agg(F.collect_set(F.struct("places", "least", "most")).alias("spans"))
 
     @F.arrow_udf("struct<n_bytes: bigint, n_spans: bigint, kept: binary>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -441,7 +443,7 @@ def remove_repeats(
         sizes, counts, out = [], [], []
         for packed_text, found_spans in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
             whole = unpack(packed_text)
-            rest, n = _remove(whole, [(s["begin"], s["end"]) for s in found_spans or ()])
+            rest, n = _remove(whole, [(p - s["most"], p - s["least"] + length) for s in found_spans or () for p in s["places"]])
             sizes.append(len(whole))
             counts.append(n)
             out.append(rest)
