@@ -41,7 +41,7 @@ def corpus(n=150):
     texts = [None, "", "  \n", "One", "one", "a b c", "A  b\tC", "x " * 5000, "w" * 100_000]
     while len(texts) < n:
         text = draw.choice(texts) if draw.random() < 0.4 else None
-        text = text.split() if text else [draw.choice(words) for _ in range(draw.randint(1, 150))]
+        text = text.split() if text and text.split() else [draw.choice(words) for _ in range(draw.randint(1, 150))]
         for _ in range(draw.choice([0, 0, 1, 2])):
             text[draw.randrange(len(text))] = draw.choice(words)
         texts.append(draw.choice([" ", "\n", "  "]).join(text))
