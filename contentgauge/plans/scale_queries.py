@@ -252,8 +252,7 @@ def f04(spark, sf):
 @query("k15_c06_panel_placement", """select content_id, descriptor, tipo, ambito, estado, value, percentil,
   case when known and tipo = 'presencia' then p_ausencia end as p_ausencia,
   case when known and tipo = 'presencia' and value > 0 then n_presentes end as n_presentes,
-  case when known and tipo <> 'presencia' then p50 end as mediana_corpus from placed""", PLACED.replace(
-    "select *, case when not known then 'sin_dato'", "select *, case when not known then 'sin_dato'"))
+  case when known and tipo <> 'presencia' then p50 end as mediana_corpus from placed""", PLACED)
 def k15(spark, sf):
     rows = P.panel_rows(described(spark, sf, "historial").where("v_apto_panel = 1"), reference_scale(spark, sf))
     e = rows.select("content_id", F.explode("panel").alias("e"))
