@@ -165,12 +165,19 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, words: int = 5, lanes: int = 4, radius: int = 51) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id; all columns stay.
+    """One document of each near-duplicate group, the one with the smallest id (null last); all columns stay.
+
+    Rows are told apart by a 128-bit hash of id and text, so rows with a null or shared id are
+    documents of their own; those that agree in both are one group, of which one row stays.
 
     With 256-bit fingerprints of five-word shingles, 51 differing bits are a similarity
     (equal bits) of 0.8; unrelated texts differ in 128 +- 8 bits, texts whose shingle sets
     overlap by 0.8 in 39 +- 6. Documents with an empty or null text form one group.
     """
-    groups = near_duplicates(docs, "doc_id", "text", words, lanes, radius)
-    firsts = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    of = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
+    rows = docs.withColumns({"_h1": F.xxhash64(*of), "_h2": F.xxhash64(F.lit(1), *of)})
+    keyed = rows.withColumn("_key", F.struct(of[0].alias("none"), F.col("doc_id"), F.col("_h1"), F.col("_h2")))
+    groups = near_duplicates(keyed, "_key", "text", words, lanes, radius)
+    firsts = groups.select(F.col("component_id._h1"), F.col("component_id._h2")).distinct()
+    kept = rows.join(firsts, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
+    return kept.select(*docs.columns)

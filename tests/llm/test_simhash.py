@@ -86,3 +86,13 @@ def test_tiles_skip_nothing_within_the_radius():
             label[int.from_bytes(member)] = int.from_bytes(root)
         for k, x in enumerate(prints):
             assert label.get(x, x) == prints[want[k]]
+
+
+def test_keep_one_with_null_and_shared_ids(frame):
+    draw = random.Random(6)
+    texts = [" ".join(f"{draw.randrange(10**6)}w" for _ in range(60)) for _ in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (None, texts[3]), (4, texts[4]), (4, texts[4])]
+    kept = simhash.keep_one(frame(rows, "doc_id long, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted(
+        [(0, texts[0]), (0, texts[1]), (3, texts[2]), (3, texts[3]), (4, texts[4])])
