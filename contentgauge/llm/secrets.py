@@ -41,13 +41,16 @@ CLASSES = (
     CharClass("0-9A-Fa-f", 32, 3.0, "[0-9]"),
     CharClass("0-9A-Za-z+/_=-", 24, 4.0, "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
 )
-# candidates that are no secrets: sample values, UUIDs, plain counting, web and mail names
+# no secrets: sample values, UUIDs, plain counting, web and mail names; a pattern that begins the
+# candidate speaks of all of it, any other of the windows that overlap its match
 ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|dummy|redacted",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)0123456789|abcdefghijkl|(.)\1{5}",
+    r"(?i)0123456789|abcdefghijkl|(.)\1{5,}",
     r"(?i)^(https?|www)[/_=-]",
 )
+WHOLE = tuple(p for p in ALLOWED if p.startswith("(?i)^"))
+PARTS = tuple(p for p in ALLOWED if p not in WHOLE)
 SPAN = "array<struct<start: bigint, end: bigint, kind: int>>"
 
 
@@ -87,8 +90,30 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def hot_windows(candidate: Column, kind: CharClass) -> Column:
-    """Spans (relative to the candidate) covered by windows of high entropy, overlapping ones united.
+def allowed_spans(candidate: Column) -> Column:
+    return F.concat(*[_where(F.rlike(candidate, F.lit(p)), _spans(candidate, p, 3)) for p in PARTS])
+
+
+def outside(spans: Column, base: Column) -> Column:
+    """What the base spans, in order of their start, leave of the spans."""
+    def cut(s: Column) -> Column:
+        def step(state: Column, b: Column) -> Column:
+            piece = F.struct(state["at"].alias("start"), b["start"].alias("end"), s["kind"].alias("kind"))
+            return F.struct(F.greatest(state["at"], b["end"]).alias("at"), F.when(
+                b["start"] > state["at"], F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
+
+        met = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        begin = F.struct(s["start"].alias("at"), F.array().cast(SPAN).alias("out"))
+        last = lambda state: F.struct(state["at"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        return F.aggregate(met, begin, step, lambda state: F.when(
+            state["at"] < s["end"], F.concat(state["out"], F.array(last(state)))).otherwise(state["out"]))
+
+    return F.when(F.size(base) == 0, spans).otherwise(F.flatten(F.transform(spans, cut)))
+
+
+def hot_windows(candidate: Column, allowed: Column, kind: CharClass) -> Column:
+    """Spans (relative to the candidate) covered by windows of high entropy that meet no allowed span,
+    overlapping ones united.
 
     The state holds the count of every character and the sum of c log2 c over the window; the
     entropy is log2 w - sum / w. Characters are ASCII and counted by their code.
@@ -109,7 +134,8 @@ def hot_windows(candidate: Column, kind: CharClass) -> Column:
         total = F.when(old >= 0, total - term(left) + term(left - 1)).otherwise(total)
         counts = F.transform(state["n"], lambda c, i: c + (i == new).cast("int") - (i == old).cast("int"))
         end = state["at"] + 1
-        hot = (end >= w) & (total <= F.lit(limit + 1e-9))
+        hot = (end >= w) & (total <= F.lit(limit + 1e-9)) & ~F.exists(
+            allowed, lambda a: (a["start"] < end) & (end - w < a["end"]))
         last = F.element_at(state["out"], -1)
         joins = (F.size(state["out"]) > 0) & (F.get(state["out"], F.size(state["out"]) - 1)["end"] >= end - w)
         span = F.struct((end - w).alias("start"), end.alias("end"), F.lit(3).alias("kind"))
@@ -128,7 +154,7 @@ def hot_windows(candidate: Column, kind: CharClass) -> Column:
 
 
 def entropy_spans(text: Column, base: Column, kind: CharClass) -> Column:
-    """Spans of high entropy outside the base spans and the allow-list."""
+    """Spans of high entropy, without the base spans' characters and what the allow-list covers."""
     found = F.arrays_zip(
         F.transform(F.split(text, kind.run, -1), _length).alias("gap"),
         F.regexp_extract_all(text, F.lit(kind.run), F.lit(0)).alias("match"))
@@ -136,27 +162,28 @@ def entropy_spans(text: Column, base: Column, kind: CharClass) -> Column:
     def placed(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         end = start + F.coalesce(_length(x["match"]), F.lit(0).cast("long"))
-        row = F.struct(start.alias("start"), x["match"].alias("match"))
+        row = F.struct(start.alias("start"), x["match"].alias("match"), allowed_spans(x["match"]).alias("allowed"))
         return F.struct(end.alias("at"), F.when(
             x["match"].isNotNull() & F.rlike(x["match"], F.lit(kind.needs)) & ~reduce(
-                lambda a, b: a | b, [F.rlike(x["match"], F.lit(p)) for p in ALLOWED]),
+                lambda a, b: a | b, [F.rlike(x["match"], F.lit(p)) for p in WHOLE]),
             F.concat(state["out"], F.array(row))).otherwise(state["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: bigint, match: string>>").alias("out"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(
+        f"array<struct<start: bigint, match: string, allowed: {SPAN}>>").alias("out"))
     candidates = F.aggregate(found, begin, placed, lambda state: state["out"])
-    spans = F.flatten(F.transform(candidates, lambda c: F.transform(hot_windows(c["match"], kind), lambda s: F.struct(
+    spans = F.flatten(F.transform(candidates, lambda c: F.transform(hot_windows(c["match"], c["allowed"], kind), lambda s: F.struct(
         (s["start"] + c["start"]).alias("start"), (s["end"] + c["start"]).alias("end"), s["kind"].alias("kind")))))
-    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return outside(spans, base)
 
 
 def scan(docs: DataFrame, text: str = "text", name: str = "secrets") -> DataFrame:
     """Add ``name``: all spans (start, end, kind) in code points, by start and then kind.
 
-    Base kinds are assign, access and hex; ``entropy`` spans are added where they meet no base
-    span. A null text has no spans.
+    Base kinds are assign, access and hex; ``entropy`` spans are added without
+    the characters of base spans. A null text has no spans.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    step = docs.withColumn("_base", base_spans(body))
+    step = docs.withColumn("_base", F.array_sort(base_spans(body)))
     more = [_where(F.rlike(body, F.lit(c.run)), entropy_spans(body, F.col("_base"), c)) for c in CLASSES]
     step = step.withColumn("_more", F.array_distinct(F.concat(*more)))
     return step.withColumn(name, F.array_sort(F.transform(
