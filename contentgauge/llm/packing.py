@@ -3,9 +3,10 @@
 Documents are tokenised once, in the row, and cut into whole windows and one rest, so the pieces
 and their checksums are final before anything is placed. A rest belongs to the tier of the smallest
 context size that holds it. The plan works on the number of rests of each length, a table of one
-row per length below the window, whatever the corpus: from the longest tier down, a window takes
-the longest rest left and its gap is filled with the longest rests of shorter tiers that still fit,
-as often as the counts allow. Pieces then find their place in the plan by their number within their
+row per length below the window, whatever the corpus: from the longest tier down, a sequence of the
+tier's own context size takes the longest rest left and its gap is filled with the longest rests,
+shorter tiers' too, that still fit, as often as the counts allow. What longer tiers leave of a tier
+is packed in sequences of its size. Pieces then find their place in the plan by their number within their
 length, which is counted in slices; no task sees all pieces of a length.
 """
 
@@ -126,10 +127,11 @@ def tier(length: int) -> int:
     return next(t for t in TIERS if length <= t)
 
 
-def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, tuple[int, ...]]]:
+def plan(counts: dict[int, int], window: int = WINDOW, tiers: tuple[int, ...] = ()) -> list[tuple[int, tuple[int, ...]]]:
     """[(how many sequences, lengths in order)] that use up all rests.
 
-    Whole windows stand alone. Otherwise the longest rest left opens a window; each gap takes the
+    Whole windows stand alone. Otherwise the longest rest left opens a sequence of the smallest of the
+    context sizes ``tiers`` (the window alone, if none are given) that holds it; each gap takes the
     longest rest left that fits. A pattern is repeated until one of its lengths runs out.
     """
     left = {n: c for n, c in counts.items() if c}
@@ -137,7 +139,8 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, tuple[
     if window in left:
         out.append((left.pop(window), (window,)))
     while left:
-        lengths, gap, free, used = sorted(left, reverse=True), window, dict(left), []
+        lengths, free, used = sorted(left, reverse=True), dict(left), []
+        gap = min((t for t in tiers if t >= lengths[0]), default=window)
         for n in lengths:
             while n <= gap and free[n]:
                 used.append(n)
@@ -171,9 +174,9 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
 def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step) per piece.
 
-    ``tier`` is the context size of the longest piece of the sequence, ``step`` the group of
-    ``group`` sequences trained together: sequences are dealt over the steps in order of tier, so
-    every step has the same mix of them. Rows with a null id are packed like any other.
+    ``tier`` is the context size of the sequence, ``step`` the group of ``group`` sequences trained
+    together: sequences are numbered tier by tier and dealt over the steps, so the steps' numbers of
+    sequences of a tier differ by one at most. Rows with a null id are packed like any other.
     """
     spark = docs.sparkSession
     cut = store(pieces(docs, path, doc_id, text), "pieces")
@@ -184,7 +187,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    patterns = plan(counts)
+    patterns = plan(counts, WINDOW, TIERS)
     rows = places(patterns)
     total = sum(times for times, _ in patterns)
     steps = max(1, -(-total // group))

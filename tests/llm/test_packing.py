@@ -86,3 +86,37 @@ def test_empty_table_and_repeated_rows(frame):
     assert packing.pack(frame([], schema), PATH).collect() == []
     got = packing.pack(frame([(None, "a b"), (1, "a b"), (1, "a b")], schema), PATH).collect()
     assert sorted((r.doc_id or 0, r.offset) for r in got) == [(0, 0), (1, 3), (1, 6)] or sorted(r.offset for r in got) == [0, 3, 6]
+
+
+def test_tiers_have_sequences_of_their_size(frame, monkeypatch):
+    draw = random.Random(4)
+    counts = Counter(1 + int(draw.expovariate(1 / 300)) % 2048 for _ in range(9000)) + Counter({2048: 70})
+    used, sizes, order = Counter(), Counter(), []
+    for times, lengths in packing.plan(counts, packing.WINDOW, packing.TIERS):
+        size = packing.tier(max(lengths))
+        assert sum(lengths) <= size
+        sizes[size] += times
+        order.append(size)
+        for n in lengths:
+            used[n] += times
+    assert used == counts and order == sorted(order, reverse=True)
+    assert set(sizes) == set(packing.TIERS)
+    rows = [(k, "word " * draw.choice([10, 100, 230, 400, 480, 900])) for k in range(300)]
+
+    def packed():
+        sequences = {}
+        for r in packing.pack(frame(rows, "doc_id long, text string"), PATH).collect():
+            sequences.setdefault(r.sequence_id, []).append(r)
+        return sequences
+
+    sequences, steps = packed(), {}
+    for found in sequences.values():
+        assert sum(r.length for r in found) <= found[0].tier and len({r.tier for r in found}) == 1
+        steps.setdefault(found[0].tier, Counter())[found[0].step] += 1
+    assert len(steps) > 1
+    n_steps = len({r.step for found in sequences.values() for r in found})
+    for dealt in steps.values():
+        every = [*dealt.values(), *[0] * (n_steps - len(dealt))]
+        assert max(every) - min(every) <= 1
+    monkeypatch.setattr(packing, "TIERS", (2048,))  # the tiers decide where pieces go
+    assert len(packed()) < len(sequences)
