@@ -6,8 +6,9 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from contentgauge.llm import bpe, chat, lines, packing, pages, quality, secrets, simhash, suffixes, vectors
+from contentgauge.llm import bpe, chat, lines, manifest, packing, pages, quality, secrets, simhash, suffixes, vectors
 from contentgauge.llm.common import prepare, table
+from contentgauge.operators.shape import once
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +118,76 @@ def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
     found = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    made = manifest.manifest(docs, claimed=manifest.without_breaks(docs))
+    folded = made.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"),
+        manifest.fold(F.col("claimed"), F.col("path")).alias("folded_root"))
+    return once(folded, verified=F.col("folded_root") == F.col("root"))
+
+
+# the lowest bit of the CRC-32 of the decimal id, bit by bit
+ORACLES["op12_manifest"] = r"""
+with recursive docs as (
+  select *, cast(doc_id as varchar) as id,
+    coalesce('=' || source, '') as tree from documents
+), marked as (
+  select *, coalesce(list_reduce(
+      list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split(id, ''), lambda c:
+        list_transform(range(8), lambda b: cast((ascii(c) >> cast(b as integer)) & 1 as bigint))))),
+      lambda c, b: xor(c >> 1, case when xor(c, b) & 1 = 1 then 3988292384 else 0 end)) & 1 = 1, false) as struck
+  from docs
+), fields as (
+  select doc_id, tree, struck,
+    coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head,
+    text, replace(text, chr(10), '') as flat from marked
+), leaves as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos from (
+    select doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+      sha256(head || case when struck then coalesce(strlen(flat) || ':' || flat, '-')
+        else coalesce(strlen(text) || ':' || text, '-') end) as claimed from fields)
+), nodes as (
+  select tree, 0 as lvl, pos, leaf as digest, count(*) over (partition by tree) as n from leaves
+  union all
+  select tree, lvl + 1, pos // 3, sha256(string_agg(digest, '' order by pos)), (n + 2) // 3
+  from nodes where n > 1 group by tree, lvl, pos // 3, n
+), subroots as (
+  select tree, digest as subroot, row_number() over (order by tree) - 1 as pos from nodes where n = 1
+), tops as (
+  select 0 as lvl, pos, subroot as digest, count(*) over () as n from subroots
+  union all
+  select lvl + 1, pos // 3, sha256(string_agg(digest, '' order by pos)), (n + 2) // 3
+  from tops where n > 1 group by lvl, pos // 3, n
+), every as (
+  select tree, lvl, pos, digest from nodes where n > 1
+), low as (
+  select a.tree, a.lvl, a.pos, coalesce(string_agg(b.digest, '' order by b.pos) filter (b.pos < a.pos), '') as l,
+    coalesce(string_agg(b.digest, '' order by b.pos) filter (b.pos > a.pos), '') as r
+  from every a join every b on a.tree = b.tree and a.lvl = b.lvl and a.pos // 3 = b.pos // 3 group by all
+), high as (
+  select a.lvl, a.pos, coalesce(string_agg(b.digest, '' order by b.pos) filter (b.pos < a.pos), '') as l,
+    coalesce(string_agg(b.digest, '' order by b.pos) filter (b.pos > a.pos), '') as r
+  from tops a join tops b on a.n > 1 and b.n > 1 and a.lvl = b.lvl and a.pos // 3 = b.pos // 3 group by all
+), up as (
+  select v.tree, v.pos as leaf_pos, v.claimed as at, '' as siblings, 0 as lvl, v.pos as pos, true as more from leaves v
+  union all
+  select u.tree, u.leaf_pos, case when low.l is null then u.at else sha256(low.l || u.at || low.r) end,
+    u.siblings || coalesce(low.l || low.r, ''), u.lvl + 1, u.pos // 3, low.l is not null
+  from up u left join low on low.tree = u.tree and low.lvl = u.lvl and low.pos = u.pos where u.more
+), topped as (
+  select u.tree, u.leaf_pos, u.at, u.siblings, 0 as lvl, s.pos, true as more
+  from up u join subroots s on s.tree = u.tree where not u.more
+  union all
+  select u.tree, u.leaf_pos, case when high.l is null then u.at else sha256(high.l || u.at || high.r) end,
+    u.siblings || coalesce(high.l || high.r, ''), u.lvl + 1, u.pos // 3, high.l is not null
+  from topped u left join high on high.lvl = u.lvl and high.pos = u.pos where u.more
+)
+select v.doc_id, v.leaf, s.subroot, r.digest as root, sha256(t.siblings) as proof_sha256, t.at as folded_root,
+  t.at = r.digest as verified
+from leaves v join subroots s on s.tree = v.tree join topped t on t.tree = v.tree and t.leaf_pos = v.pos and not t.more
+cross join (select digest from tops where n = 1) r"""
