@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from contentgauge.llm import bpe, chat, lines, manifest, packing, pages, quality, secrets, simhash, suffixes, vectors
+from contentgauge.llm import bpe, chat, licenses, lines, manifest, packing, pages, quality, secrets, simhash, suffixes, vectors
 from contentgauge.llm.common import prepare, table
 from contentgauge.operators.shape import once
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -191,3 +191,10 @@ select v.doc_id, v.leaf, s.subroot, r.digest as root, sha256(t.siblings) as proo
   t.at = r.digest as verified
 from leaves v join subroots s on s.tree = v.tree join topped t on t.tree = v.tree and t.leaf_pos = v.pos and not t.more
 cross join (select digest from tops where n = 1) r"""
+
+
+@query
+def op13_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return licenses.labelled(found).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
