@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from contentgauge.llm import bpe, chat, licenses, lines, manifest, packing, pages, quality, secrets, simhash, suffixes, vectors
+from contentgauge.llm import bpe, chat, collocations, licenses, lines, manifest, packing, pages, quality, secrets, simhash, suffixes, vectors
 from contentgauge.llm.common import prepare, table
 from contentgauge.operators.shape import once
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -198,3 +198,43 @@ def op13_licenses(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
     return licenses.labelled(found).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+ORACLES["op11_collocations"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), words as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), sizes as (
+  select lang, sum(len(w)) as n from words group by lang
+), phrases as (
+  select lang, m, p as phrase, count(*) as f from (
+    select lang, m, unnest(list_transform(range(1, cast(len(w) - m + 2 as bigint)), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))) as p
+    from words, (select unnest(range(1, 5)) as m) where len(w) >= m)
+  group by all having count(*) >= 30
+), candidates as (
+  select lang, m, phrase, f as a, string_split(phrase, ' ') as w from phrases where m >= 2
+), cuts as (
+  select c.lang, c.phrase, c.a, k, l.f as l, r.f as r, (cast(2000000 as hugeint) * c.a) // (l.f + r.f) as score
+  from (select *, unnest(range(1, m)) as k from candidates) c
+  join phrases l on l.lang = c.lang and l.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+  join phrases r on r.lang = c.lang and r.phrase = array_to_string(list_slice(c.w, k + 1, c.m), ' ')
+), inside as (
+  select lang, p as phrase, max(a) as cover from (
+    select lang, a, unnest(list_transform(range(1, cast(m - n + 2 as bigint)), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) as p
+    from candidates, (select unnest([2, 3]) as n) where n < m) group by all
+), best as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), ranked as (
+  select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+  from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase
+  where i.cover is null or 100 * cast(i.cover as hugeint) < 80 * cast(a as hugeint)
+)
+select r.lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked r join sizes s on s.lang = r.lang where rank <= 2000"""
