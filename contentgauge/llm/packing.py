@@ -3,16 +3,17 @@
 Documents are tokenised once, in the row, and cut into whole windows and one rest, so the pieces
 and their checksums are final before anything is placed. A rest belongs to the tier of the smallest
 context size that holds it. The plan works on the number of rests of each length, a table of one
-row per length below the window, whatever the corpus: from the longest tier down, a sequence of the
-tier's own context size takes the longest rest left and its gap is filled with the longest rests,
-shorter tiers' too, that still fit, as often as the counts allow. What longer tiers leave of a tier
-is packed in sequences of its size. Pieces then find their place in the plan by their number within their
+row per length below the window, whatever the corpus: from the longest tier down, rests that fill
+the tier's context size exactly are a sequence of that size; the gaps of the windows are filled
+with the longest rests that still fit, shorter tiers' too, as often as the counts allow. So only windows
+are padded. Pieces then find their place in the plan by their number within their
 length, which is counted in slices; no task sees all pieces of a length.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from array import array
@@ -29,6 +30,7 @@ from contentgauge.llm.common import store
 WINDOW = 2_048
 TIERS = (256, 512, 1_024, 2_048)
 CLOSING = 1
+SPARED = 0.25  # of the rests of a length, for the windows
 CACHED = 600_000
 LONGEST = 64
 STOPS = ".,;:!?|&$%#*"
@@ -123,36 +125,74 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     return found.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def tier(length: int) -> int:
-    return next(t for t in TIERS if length <= t)
+def size_of(lengths: tuple[int, ...], window: int = WINDOW) -> int:
+    """The context size of a sequence: its own length where that is a tier's, else the window, to which it is padded."""
+    return total if (total := sum(lengths)) in TIERS else window
+
+
+def _filled(left: dict[int, int], gap: int, parts: int) -> tuple[int, ...] | None:
+    """At most ``parts`` of the lengths left that fill the gap exactly, the longest first."""
+    if left.get(gap):
+        return (gap,)
+    if parts > 1:
+        for n in sorted((n for n in left if n < gap), reverse=True):
+            rest = _filled({m: c - (m == n) for m, c in left.items() if c - (m == n)}, gap - n, parts - 1)
+            if rest:
+                return (n, *rest)
+    return None
 
 
 def plan(counts: dict[int, int], window: int = WINDOW, tiers: tuple[int, ...] = ()) -> list[tuple[int, tuple[int, ...]]]:
-    """[(how many sequences, lengths in order)] that use up all rests.
+    """[(how many sequences, lengths in order)] that use up all rests, the longest sequences first.
 
-    Whole windows stand alone. Otherwise the longest rest left opens a sequence of the smallest of the
-    context sizes ``tiers`` (the window alone, if none are given) that holds it; each gap takes the
-    longest rest left that fits. A pattern is repeated until one of its lengths runs out.
+    Whole windows stand alone, and rests above the longest shorter tier open windows, whose gaps take the
+    longest rest left that fits, shorter tiers' too. In each shorter tier, from the longest down, a rest and at
+    most two others that fill its context size *exactly* are a sequence, so it needs no padding; of every length
+    ``SPARED`` of the rests stay back for the windows, which take all that is left. A pattern is repeated until
+    one of its lengths runs out.
     """
     left = {n: c for n, c in counts.items() if c}
     out = []
+
+    def take(lengths: tuple[int, ...], held: dict[int, int]) -> int:
+        times = min(held[n] // lengths.count(n) for n in set(lengths))
+        out.append((times, lengths))
+        return times
+
+    def drop(lengths: tuple[int, ...], times: int, held: dict[int, int]) -> None:
+        for n in set(lengths):
+            held[n] -= times * lengths.count(n)
+            if not held[n]:
+                del held[n]
+
+    def windows(above: int) -> None:
+        while left and max(left) > above:
+            gap, used = window, []
+            for n in sorted(left, reverse=True):
+                fits = min(left[n], gap // n)
+                used += [n] * fits
+                gap -= n * fits
+            lengths = tuple(used)
+            drop(lengths, take(lengths, left), left)
+
     if window in left:
         out.append((left.pop(window), (window,)))
-    while left:
-        lengths, free, used = sorted(left, reverse=True), dict(left), []
-        gap = min((t for t in tiers if t >= lengths[0]), default=window)
-        for n in lengths:
-            while n <= gap and free[n]:
-                used.append(n)
-                free[n] -= 1
-                gap -= n
-        times = min(left[n] // used.count(n) for n in set(used))
-        out.append((times, tuple(used)))
-        for n in set(used):
-            left[n] -= times * used.count(n)
-            if not left[n]:
-                del left[n]
-    return out
+    short = sorted((t for t in tiers if t < window), reverse=True)
+    windows(max(short, default=0))
+    for size, below in zip(short, [*short[1:], 0]):
+        free = {n: f for n, c in left.items() if (f := c - math.ceil(c * SPARED))}
+        for n in sorted((n for n in free if below < n <= size), reverse=True):
+            while free.get(n):
+                others = {m: c - (m == n) for m, c in free.items() if c - (m == n)}
+                rest = () if n == size else _filled(others, size - n, 2)
+                if rest is None:
+                    break
+                lengths = (n, *rest)
+                times = take(lengths, free)
+                drop(lengths, times, free)
+                drop(lengths, times, left)
+    windows(0)
+    return sorted(out, key=lambda x: -size_of(x[1], window))
 
 
 def places(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -164,7 +204,7 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
         offset = 0
         for n in lengths:
             first = used.get(n, 0)
-            rows.append((n, first, first + times - 1, sequence, offset, tier(max(lengths))))
+            rows.append((n, first, first + times - 1, sequence, offset, size_of(lengths)))
             used[n] = first + times
             offset += n
         sequence += times
@@ -174,7 +214,7 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
 def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step) per piece.
 
-    ``tier`` is the context size of the sequence, ``step`` the group of ``group`` sequences trained
+    ``tier`` is the context size of the sequence (below the window it is filled to the last id), ``step`` the group of ``group`` sequences trained
     together: sequences are numbered tier by tier and dealt over the steps, so the steps' numbers of
     sequences of a tier differ by one at most. Rows with a null id are packed like any other.
     """
