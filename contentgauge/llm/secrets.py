@@ -91,24 +91,43 @@ def base_spans(text: Column) -> Column:
 
 
 def allowed_spans(candidate: Column) -> Column:
-    return F.concat(*[_where(F.rlike(candidate, F.lit(p)), _spans(candidate, p, 3)) for p in PARTS])
+    """The matches of every pattern of ``PARTS``, an array each, in order of their start."""
+    return F.array(*[_where(F.rlike(candidate, F.lit(p)), _spans(candidate, p, 3)) for p in PARTS])
 
 
 def outside(spans: Column, base: Column) -> Column:
-    """What the base spans, in order of their start, leave of the spans."""
-    def cut(s: Column) -> Column:
-        def step(state: Column, b: Column) -> Column:
-            piece = F.struct(state["at"].alias("start"), b["start"].alias("end"), s["kind"].alias("kind"))
-            return F.struct(F.greatest(state["at"], b["end"]).alias("at"), F.when(
-                b["start"] > state["at"], F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
+    """What the base spans leave of the spans, as far as a whole window of the span's class is left (``least``).
 
-        met = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        begin = F.struct(s["start"].alias("at"), F.array().cast(SPAN).alias("out"))
-        last = lambda state: F.struct(state["at"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        return F.aggregate(met, begin, step, lambda state: F.when(
-            state["at"] < s["end"], F.concat(state["out"], F.array(last(state)))).otherwise(state["out"]))
+    Both in order of their start; spans do not overlap each other. One pass: the state holds the span
+    that is open and the furthest end of a base span.
+    """
+    none = F.lit(None).cast("struct<start: bigint, end: bigint, least: int>")
+    both = F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(0).alias("least"))),
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["least"].alias("least")))))
+
+    def put(out: Column, start: Column, end: Column, least: Column) -> Column:
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(3).alias("kind"))
+        return F.when(end - start >= least, F.concat(out, F.array(span))).otherwise(out)
 
-    return F.when(F.size(base) == 0, spans).otherwise(F.flatten(F.transform(spans, cut)))
+    def step(state: Column, x: Column) -> Column:
+        open_ = state["open"]
+        is_base, cuts = x["least"] == 0, open_["end"] > x["start"]
+        out = F.when(open_.isNull() | (is_base & ~cuts), state["out"]).when(
+            is_base, put(state["out"], open_["start"], x["start"], open_["least"])).otherwise(
+            put(state["out"], open_["start"], open_["end"], open_["least"]))
+        covered = F.greatest(state["covered"], F.when(is_base, x["end"]).otherwise(F.lit(0).cast("long")))
+        rest = F.struct(F.greatest(open_["start"], x["end"]).alias("start"), open_["end"].alias("end"), open_["least"].alias("least"))
+        begun = F.struct(F.greatest(x["start"], state["covered"]).alias("start"), x["end"].alias("end"), x["least"].alias("least"))
+        next_ = F.when(~is_base, F.when(begun["start"] < begun["end"], begun).otherwise(none)).when(
+            open_.isNull() | ~cuts, open_).when(rest["start"] < rest["end"], rest).otherwise(none)
+        return F.struct(next_.alias("open"), covered.alias("covered"), out.alias("out"))
+
+    begin = F.struct(none.alias("open"), F.lit(0).cast("long").alias("covered"), F.array().cast(SPAN).alias("out"))
+    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(3).alias("kind")))
+    return F.when(F.size(base) == 0, plain).otherwise(F.aggregate(both, begin, step, lambda state: F.when(
+        state["open"].isNull(), state["out"]).otherwise(
+        put(state["out"], state["open"]["start"], state["open"]["end"], state["open"]["least"]))))
 
 
 def hot_windows(candidate: Column, allowed: Column, kind: CharClass) -> Column:
@@ -116,7 +135,9 @@ def hot_windows(candidate: Column, allowed: Column, kind: CharClass) -> Column:
     overlapping ones united.
 
     The state holds the count of every character and the sum of c log2 c over the window; the
-    entropy is log2 w - sum / w. Characters are ASCII and counted by their code.
+    entropy is log2 w - sum / w. Characters are ASCII and counted by their code. It also holds, per pattern of
+    allowed spans, how many of them have begun, and where the furthest ends: a character costs the same
+    however long the candidate is and whatever is allowed in it.
     """
     w = kind.window
     terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(w + 2)])
@@ -134,8 +155,11 @@ def hot_windows(candidate: Column, allowed: Column, kind: CharClass) -> Column:
         total = F.when(old >= 0, total - term(left) + term(left - 1)).otherwise(total)
         counts = F.transform(state["n"], lambda c, i: c + (i == new).cast("int") - (i == old).cast("int"))
         end = state["at"] + 1
-        hot = (end >= w) & (total <= F.lit(limit + 1e-9)) & ~F.exists(
-            allowed, lambda a: (a["start"] < end) & (end - w < a["end"]))
+        begins = [F.get(F.get(allowed, F.lit(p)), F.element_at(state["begun"], p + 1)) for p in range(len(PARTS))]
+        here = [F.coalesce(b["start"] == state["at"], F.lit(False)) for b in begins]
+        begun = F.array(*[F.element_at(state["begun"], p + 1) + h.cast("int") for p, h in enumerate(here)])
+        blocked = F.greatest(state["blocked"], *[F.when(h, b["end"]) for h, b in zip(here, begins, strict=True)])
+        hot = (end >= w) & (total <= F.lit(limit + 1e-9)) & (blocked <= end - w)
         last = F.element_at(state["out"], -1)
         joins = (F.size(state["out"]) > 0) & (F.get(state["out"], F.size(state["out"]) - 1)["end"] >= end - w)
         span = F.struct((end - w).alias("start"), end.alias("end"), F.lit(3).alias("kind"))
@@ -143,18 +167,21 @@ def hot_windows(candidate: Column, allowed: Column, kind: CharClass) -> Column:
         out = F.when(~hot, state["out"]).when(
             joins, F.concat(F.slice(state["out"], 1, F.size(state["out"]) - 1), F.array(longer))
         ).otherwise(F.concat(state["out"], F.array(span)))
-        return F.struct(counts.alias("n"), total.alias("sum"), end.alias("at"), out.alias("out"))
+        return F.struct(counts.alias("n"), total.alias("sum"), end.alias("at"), out.alias("out"),
+                        begun.alias("begun"), blocked.alias("blocked"))
 
     begin = F.struct(
         F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("at"),
-        F.array().cast(SPAN).alias("out"))
-    moves = F.transform(codes, lambda c, i: F.struct(
-        c.alias("new"), F.coalesce(F.get(codes, i - w), F.lit(-1)).alias("old")))
+        F.array().cast(SPAN).alias("out"), F.array_repeat(F.lit(0), len(PARTS)).alias("begun"), F.lit(0).cast("long").alias("blocked"))
+    # each character next to the one that leaves: the codes are made twice, not once a character
+    old = F.slice(F.concat(F.array_repeat(F.lit(-1), w), codes), 1, F.char_length(candidate))
+    moves = F.zip_with(codes, old, lambda c, o: F.struct(c.alias("new"), o.alias("old")))
     return F.aggregate(moves, begin, step, lambda state: state["out"])
 
 
 def entropy_spans(text: Column, base: Column, kind: CharClass) -> Column:
-    """Spans of high entropy, without the base spans' characters and what the allow-list covers."""
+    """Spans of high entropy, without what the allow-list covers and the base spans' characters; what these leave
+    of a span counts where it still holds a whole window."""
     found = F.arrays_zip(
         F.transform(F.split(text, kind.run, -1), _length).alias("gap"),
         F.regexp_extract_all(text, F.lit(kind.run), F.lit(0)).alias("match"))
@@ -169,18 +196,18 @@ def entropy_spans(text: Column, base: Column, kind: CharClass) -> Column:
             F.concat(state["out"], F.array(row))).otherwise(state["out"]).alias("out"))
 
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(
-        f"array<struct<start: bigint, match: string, allowed: {SPAN}>>").alias("out"))
+        f"array<struct<start: bigint, match: string, allowed: array<{SPAN}>>>").alias("out"))
     candidates = F.aggregate(found, begin, placed, lambda state: state["out"])
     spans = F.flatten(F.transform(candidates, lambda c: F.transform(hot_windows(c["match"], c["allowed"], kind), lambda s: F.struct(
-        (s["start"] + c["start"]).alias("start"), (s["end"] + c["start"]).alias("end"), s["kind"].alias("kind")))))
+        (s["start"] + c["start"]).alias("start"), (s["end"] + c["start"]).alias("end"), F.lit(kind.window).alias("least")))))
     return outside(spans, base)
 
 
 def scan(docs: DataFrame, text: str = "text", name: str = "secrets") -> DataFrame:
     """Add ``name``: all spans (start, end, kind) in code points, by start and then kind.
 
-    Base kinds are assign, access and hex; ``entropy`` spans are added without
-    the characters of base spans. A null text has no spans.
+    Base kinds are assign, access and hex; ``entropy`` spans are added without the
+    characters of base spans, where at least a whole window of theirs is left. A null text has no spans.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     step = docs.withColumn("_base", F.array_sort(base_spans(body)))
