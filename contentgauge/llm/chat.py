@@ -5,9 +5,10 @@ longer one adds is the turn's part, and a second rendering with a mark in place
 tells where in that part the text lies. A template whose longer output does not begin with the
 shorter one rewrites history; such turns are flagged.
 
-Prefixes are rendered over a bounded history: every ``reach`` turns the older half is dropped,
-after a check that the turn's part is the same without it. Turns stream through a task in order,
-so a very long conversation needs no more memory than a short one.
+Prefixes are whole ones, however long the conversation is, so a template that changes early turns late
+is caught. A template may declare its ``reach``, the number of preceding turns its part of a turn can
+depend on (0: the turn alone); prefixes are then rendered over a bounded history, and a very long
+conversation needs no more memory and time a turn than a short one. The default template declares it.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 START, END, MARK = "<|im_start|>", "<|im_end|>", "\ue000"
-REACH = 32
 
 
 def escaped(text: str) -> str:
@@ -40,14 +41,17 @@ def marked_turns(turns: list[Turn]) -> str:
         START + escaped(role).replace("\n", "\\n") + "\n" + escaped(text) + END + "\n" for role, text in turns)
 
 
+marked_turns.reach = 0
+
+
 class Renderer:
     """Parts and text spans of successive turns of one conversation."""
 
-    def __init__(self, template: Template, reach: int = REACH):
-        self.template, self.reach = template, reach
+    def __init__(self, template: Template, reach: int | None = None):
+        self.template = template
+        self.reach = getattr(template, "reach", None) if reach is None else reach
         self.history: list[Turn] = []
         self.before = template([])
-        self.whole = False  # the template looks further back than ``reach``
 
     def _part(self, turn: Turn) -> tuple[str | None, str]:
         out = self.template([*self.history, turn])
@@ -70,24 +74,21 @@ class Renderer:
             end = len(part) - (len(probe) - begin - 1)
         self.history.append((role, text))
         self.before = out
-        if len(self.history) >= 2 * self.reach and not self.whole:
-            self._shorten(part)
+        if self.reach is not None and len(self.history) > 2 * self.reach + 8:
+            self.history = self.history[len(self.history) - self.reach:]
+            self.before = self.template(self.history)
         return part, begin, end, rewritten
 
-    def _shorten(self, part: str) -> None:
-        recent = self.history[-self.reach:]
-        without, out = self.template(recent[:-1]), self.template(recent)
-        if out == without + part:
-            self.history, self.before = recent, out
-        else:
-            self.whole = True
-
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True)
 
 
+def _with_id(kind, schema: pa.Schema) -> pa.Schema:
+    return pa.schema([("conv_id", to_arrow_type(kind)), *schema])
+
+
 def _batched(rows: Iterable[tuple], schema: pa.Schema, size: int = 1_000) -> Iterator[pa.RecordBatch]:
     held = []
     for row in rows:
@@ -100,24 +101,28 @@ def _batched(rows: Iterable[tuple], schema: pa.Schema, size: int = 1_000) -> Ite
 
 
 PARTS = pa.schema([
-    ("conv_id", pa.int64()), ("n", pa.int64()), ("part", pa.string()), ("text_start", pa.int64()),
+    ("n", pa.int64()), ("part", pa.string()), ("text_start", pa.int64()),
     ("text_end", pa.int64()), ("loss", pa.bool_()), ("rewritten", pa.bool_()),
 ])
 
 
 def format_turns(
-    turns: DataFrame, template: Template = marked_turns, trained: tuple[str, ...] = ("assistant",), reach: int = REACH,
+    turns: DataFrame, template: Template = marked_turns, trained: tuple[str, ...] = ("assistant",),
+    reach: int | None = None,
 ) -> DataFrame:
     """One row per turn: its part of the formatted conversation and where its text lies there.
 
     ``turns`` has conv_id, turn, role, text; more columns are ignored. Turns are taken in order
     of (turn, role, text), nulls first; null roles and texts count as empty, a null conv_id is a
-    conversation of its own. ``text_start`` and ``text_end`` are code points in the formatted
+    conversation of its own; ids are of any type that can be ordered. ``reach`` overrides what the template
+    declares. ``text_start`` and ``text_end`` are code points in the formatted
     conversation, ``loss`` marks texts a model is trained on. Rows of a conversation are in
     order in one partition.
     """
     order = ["conv_id", "turn", "role", "text"]
-    placed = turns.select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions(*order)
+    placed = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions(*order)
+
+    kind = placed.schema["conv_id"].dataType
 
     def run(batches):
         def parts():
@@ -130,10 +135,10 @@ def format_turns(
                 yield conv, n, part, at + begin, at + end, role in trained and not rewritten, rewritten
                 n, at = n + 1, at + len(part)
 
-        yield from _batched(parts(), PARTS)
+        yield from _batched(parts(), _with_id(kind, PARTS))
 
     return placed.select("conv_id", "role", "text").mapInArrow(
-        run, "conv_id long, n long, part string, text_start long, text_end long, loss boolean, rewritten boolean")
+        run, f"conv_id {kind.simpleString()}, n long, part string, text_start long, text_end long, loss boolean, rewritten boolean")
 
 
 class Reader:
@@ -154,7 +159,7 @@ class Reader:
 
 
 DIGEST = pa.schema([
-    ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
+    ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
     ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_rewritten", pa.int64()),
 ])
 
@@ -162,6 +167,8 @@ DIGEST = pa.schema([
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the output of ``format_turns`` holds, per conversation: its turns, and the texts under the loss."""
 
+    kind = formatted.schema["conv_id"].dataType
+
     def run(batches):
         def found():
             current, state = object(), None
@@ -179,8 +186,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
             if state is not None:
                 yield current, state.turns, state.digest.hexdigest(), chars, trained.hexdigest(), at, changed
 
-        yield from _batched(found(), DIGEST)
+        yield from _batched(found(), _with_id(kind, DIGEST))
 
     return formatted.mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+        run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
              "formatted_chars long, n_rewritten long")

@@ -29,30 +29,55 @@ def test_what_is_formatted_is_read_back(frame):
     assert all(r.n_rewritten == 0 for r in got.values())
 
 
-def test_long_conversations_are_rendered_over_a_bounded_history():
+def test_a_declared_reach_bounds_the_history():
     seen = []
 
     def template(turns):
         seen.append(len(turns))
         return chat.marked_turns(turns)
 
-    state, out = chat.Renderer(template, reach=4), ""
+    state, out = chat.Renderer(template, reach=0), ""
     turns = [("user" if k % 2 else "assistant", f"text {k}") for k in range(50)]
     for role, text in turns:
         part, begin, end, rewritten = state.add(role, text)
         assert not rewritten and chat.plain(part[begin:end]) == text
         out += part
-    assert out == chat.marked_turns(turns) and max(seen) <= 9
+    assert out == chat.marked_turns(turns) and max(seen) <= 10
+    assert chat.Renderer(chat.marked_turns).reach == 0
 
 
-def test_a_template_that_looks_far_back_keeps_its_history():
+def test_prefixes_are_whole_without_a_declared_reach():
     def numbered(turns):
         return "".join(f"[{k}]{t}" for k, (_, t) in enumerate(turns))
 
-    state, out = chat.Renderer(numbered, reach=2), ""
-    for k in range(20):
+    def window(turns):  # forgets turns beyond 100
+        return "".join(f"<{t}>" for _, t in turns[-100:])
+
+    state, out = chat.Renderer(numbered), ""
+    for k in range(150):
         out += state.add("user", f"t{k};")[0]
-    assert out == numbered([("user", f"t{k};") for k in range(20)])
+    assert out == numbered([("user", f"t{k};") for k in range(150)])
+    state = chat.Renderer(window)
+    flags = [state.add("user", f"t{k};")[3] for k in range(150)]
+    assert flags == [False] * 100 + [True] * 50
+
+
+def test_a_system_turn_that_moves_is_flagged():
+    def moved(turns):  # the system text goes before the last user turn
+        system = "".join(t for r, t in turns if r == "system")
+        last = max((k for k, (r, _) in enumerate(turns) if r == "user"), default=-1)
+        return "".join(f"<{system if k == last else ''}{t}>" for k, (r, t) in enumerate(turns) if r != "system")
+
+    state = chat.Renderer(moved)
+    turns = [("system", "S!")] + [(("user", "assistant")[k % 2], f"t{k}") for k in range(160)]
+    flags = [state.add(*t)[3] for t in turns]
+    assert all(flags[k] for k in range(3, 161, 2))  # every later user turn moves it
+
+
+def test_ids_keep_their_type(frame):
+    rows = [("b", 0, "user", "x", 0), ("a", 1, "assistant", "y", 0), ("a", 0, "user", "z", 0), (None, 0, "assistant", "n", 0)]
+    got = chat.read_back(chat.format_turns(frame(rows, SCHEMA.replace("conv_id long", "conv_id string"))))
+    assert {r.conv_id: r.n_turns for r in got.collect()} == {"b": 1, "a": 2, None: 1}
 
 
 def test_a_template_that_rewrites_history_is_flagged():
