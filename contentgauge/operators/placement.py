@@ -8,7 +8,7 @@ from contentgauge.functions import lexicons as L
 from contentgauge.functions.numbers import clean_number, flag, half_even, ratio
 from contentgauge.functions.text import blank_words
 from contentgauge.operators.scale import ALL, locate
-from contentgauge.operators.skew import median_by
+from contentgauge.operators.skew import quantile
 
 OUT_OF_FRAME = "fuera_del_marco"
 
@@ -123,19 +123,28 @@ def denominator_contrast(long: DataFrame) -> DataFrame:
     return out.withColumn("cambio_alto", shift).withColumn("inversion", flag(F.abs("cambio_alto") >= 12))
 
 
+def joint_histogram(long: DataFrame) -> DataFrame:
+    """Items per (descriptor, value, percentile, state): what medians and shares of a history need, in one pass.
+
+    Values are rounded and percentiles whole numbers, so its rows are bounded by the descriptors' decimals.
+    """
+    return long.groupBy("descriptor", "value", "percentil", "estado").agg(F.count(F.lit(1)).alias("freq"))
+
+
 def history_medians(long: DataFrame) -> DataFrame:
     """Median percentile and median raw value per descriptor, nulls left out."""
-    p = median_by(long, ["descriptor"], "percentil", "mediana_percentil")
-    v = median_by(long, ["descriptor"], "value", "mediana_valor")
-    return v.join(F.broadcast(p), "descriptor", "left")
+    both = joint_histogram(long).groupBy("descriptor").agg(
+        quantile("percentil", 0.5).alias("mediana_percentil"), quantile("value", 0.5).alias("mediana_valor"))
+    return both.where(F.col("mediana_valor").isNotNull()).select("descriptor", "mediana_valor", "mediana_percentil")
 
 
 def presence_contrast(long: DataFrame, scale: DataFrame) -> DataFrame:
     """Presence descriptors: share having it, in the history and in the corpus."""
     corpus = scale.where((F.col("scope") == ALL) & (F.col("tipo") == "presencia")).select("descriptor", "p_ausencia")
-    mine = long.groupBy("descriptor").agg(F.avg(flag(F.col("estado") == "presente")).alias("tuyos"))
-    medians = median_by(long, ["descriptor"], "percentil", "mediana_percentil")
-    return mine.join(F.broadcast(corpus), "descriptor").join(F.broadcast(medians), "descriptor", "left").select(
+    present = F.sum(flag(F.col("estado") == "presente") * F.col("freq"))
+    mine = joint_histogram(long).groupBy("descriptor").agg(
+        ratio(present, F.sum("freq")).alias("tuyos"), quantile("percentil", 0.5).alias("mediana_percentil"))
+    return mine.join(F.broadcast(corpus), "descriptor").select(
         "descriptor", half_even(F.col("tuyos"), 6).alias("tuyos"),
         half_even(1.0 - F.col("p_ausencia"), 6).alias("corpus"), "mediana_percentil")
 

@@ -61,9 +61,8 @@ def sample_per_channel(cands: DataFrame, k: int, seed: str, id_: str = "external
 
 
 def contenders(cands: DataFrame, total: int, cap: int, reserve: int, seed: str) -> DataFrame:
-    """All candidates that can take part in the draw or the reserve.
+    """(external_id, channel_id, cell, _key, _able) of all candidates that can take part in the draw or the reserve.
 
-    The ranking moves ids and cells only; the other columns are fetched for what stays.
     Nothing reachable is lost: a channel gives a cell at most ``cap`` items, so its best
     ``cap`` there are enough. The draw takes ``total`` items, so at most that many
     channels are ever used; a cell that walks its channels in order of their best
@@ -85,7 +84,7 @@ def contenders(cands: DataFrame, total: int, cap: int, reserve: int, seed: str)
     kept = able.withColumn("_able", F.lit(True)).unionByName(
         spare.join(able.select("external_id"), "external_id", "left_anti").withColumn("_able", F.lit(False)))
     # at most 12 x ((total + quota) x cap + quota + reserve) rows, whatever the pool
-    return cands.drop("channel_id", *CELL).join(F.broadcast(kept), "external_id")
+    return kept
 
 
 def stratified_draw(cands: DataFrame, total: int = 396, cap: int = 2, reserve: int = 20, seed: str = "7") -> DataFrame:
@@ -97,41 +96,37 @@ def stratified_draw(cands: DataFrame, total: int = 396, cap: int = 2, reserve: i
     passes go up to the cap. A round that accepts nothing ends the pass. Returns the
     candidates with sample_rank 'principal' or 'reserva'.
 
-    The large table is read once, by ``contenders``; rounds run on what it left, written
-    to the shared folder after each.
+    The large table is read once for the draw, by ``contenders``, and once more for the columns of what is
+    drawn. The rounds are a fixed point on one written table of contenders, each with the round that took
+    it; how often a channel gave and how full a cell is are windows over it. A round writes the table
+    once and asks whether it took anything.
     """
     quota = max(1, total // 12)
-    pool = cut_lineage(contenders(cands, total, cap, reserve, seed))
-    spark = pool.sparkSession
-    taken = spark.createDataFrame([], "external_id string, channel_id string, stratum_format string, stratum_duration string")
-    taken = taken.select(*[F.col(c).cast(pool.schema[c].dataType).alias(c) for c in taken.columns])
+    state = cut_lineage(contenders(cands, total, cap, reserve, seed).withColumn("_round", F.lit(None).cast("int")))
+    by_cell, by_channel = Window.partitionBy(*CELL), Window.partitionBy("channel_id")
+    order = [F.col("_key"), F.col("external_id")]
     round_ = 0
     for limit in range(1, cap + 1):
         while True:
             round_ += 1
-            used = taken.groupBy("channel_id").agg(F.count(F.lit(1)).alias("_used"))
-            filled = taken.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_filled"))
-            free = (
-                pool.where("_able").join(F.broadcast(taken.select("external_id")), "external_id", "left_anti")
-                .join(F.broadcast(used), "channel_id", "left").join(F.broadcast(filled), CELL, "left")
-                .fillna(0, ["_used", "_filled"]).where((F.col("_used") < limit) & (F.col("_filled") < quota))
-            )
-            place = F.row_number().over(Window.partitionBy(*CELL).orderBy("_key", "external_id"))
-            proposed = free.withColumn("_place", place).where(F.col("_place") <= quota - F.col("_filled"))
-            lot = F.md5(F.concat_ws(":", "channel_id", *CELL, F.lit(round_), F.lit(seed)))
-            wanted = F.row_number().over(Window.partitionBy("channel_id").orderBy("_lot", "_key", "external_id"))
-            accepted = proposed.withColumn("_lot", lot).withColumn("_w", wanted).where(
-                F.col("_w") <= limit - F.col("_used")).select(*taken.columns)
-            merged = cut_lineage(taken.unionByName(accepted))
-            if merged.count() == taken.count():
+            counted = state.withColumns({
+                "_used": F.count("_round").over(by_channel), "_filled": F.count("_round").over(by_cell)})
+            free = F.col("_able") & F.col("_round").isNull() & (F.col("_used") < limit) & (F.col("_filled") < quota)
+            asked = counted.withColumn("_free", free).withColumn(
+                "_place", F.row_number().over(by_cell.orderBy(F.desc("_free"), *order)))
+            asked = asked.withColumns({
+                "_asks": F.col("_free") & (F.col("_place") <= quota - F.col("_filled")),
+                "_lot": F.md5(F.concat_ws(":", "channel_id", *CELL, F.lit(round_), F.lit(seed)))})
+            asked = asked.withColumn("_turn", F.row_number().over(by_channel.orderBy(F.desc("_asks"), "_lot", *order)))
+            taken = F.col("_asks") & (F.col("_turn") <= limit - F.col("_used"))
+            state = cut_lineage(asked.withColumn("_round", F.when(taken, F.lit(round_)).otherwise(F.col("_round"))).select(state.columns))
+            if state.where(F.col("_round") == round_).isEmpty():
                 break
-            taken = merged
-    main = pool.join(F.broadcast(taken.select("external_id")), "external_id", "left_semi").withColumn(
-        "sample_rank", F.lit("principal"))
-    left = pool.join(F.broadcast(taken.select("external_id")), "external_id", "left_anti")
-    spare = left.withColumn("_place", F.row_number().over(Window.partitionBy(*CELL).orderBy("_key", "external_id"))).where(
-        F.col("_place") <= reserve).drop("_place").withColumn("sample_rank", F.lit("reserva"))
-    return main.unionByName(spare).drop("_key", "_able")
+    last = F.row_number().over(Window.partitionBy(*CELL, F.col("_round").isNull()).orderBy(*order))
+    rank = F.when(F.col("_round").isNotNull(), "principal").when(last <= reserve, "reserva")
+    drawn = state.withColumn("sample_rank", rank).where("sample_rank is not null").drop("_key", "_able", "_round")
+    # no more rows than the sample asks for; the join is left to the optimizer, which knows their size
+    return cands.drop("channel_id", *CELL).join(cut_lineage(drawn), "external_id")
 
 
 def feasibility(cands: DataFrame, total: int, cap: int) -> DataFrame:
@@ -146,7 +141,7 @@ def rebuild_reserve(cands: DataFrame, stored: DataFrame, per_cell: int, seed: st
     slim = cands.select("external_id", *CELL, draw_key("external_id", seed, "banco").alias("_key"))
     free = slim.join(stored.select("external_id"), "external_id", "left_anti")
     best = top_per_group(free, CELL, [F.col("_key"), F.col("external_id")], per_cell, F.col("external_id"), rank="orden")
-    return cands.join(F.broadcast(best.select("external_id", "orden")), "external_id")
+    return cands.join(best.select("external_id", "orden"), "external_id")
 
 
 # ------------------------------------------------------------------ state and refill

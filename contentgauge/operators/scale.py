@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contentgauge.functions import lexicons as L
 from contentgauge.functions.numbers import half_even, ratio
+from contentgauge.operators.shuffles import Tested, shuffled_ranges
 from contentgauge.operators.skew import histogram, quantile
 from contentgauge.session import cut_lineage
 
@@ -74,6 +75,7 @@ def group_range(grouped: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def permutation_test(
     rows: DataFrame, permutations: int = L.PERMUTATIONS, seed: int = 20260812, types: DataFrame | None = None,
+    hist: DataFrame | None = None,
 ) -> DataFrame:
     """Do groups differ more than shuffled labels would make them differ?
 
@@ -83,21 +85,23 @@ def permutation_test(
 
     A shuffle orders the ids by md5(id:shuffle:seed); the groups take the rows of a descriptor in
     that order. One order serves all descriptors, and the same rule holds for every size.
+    ``hist``: stored rows per (descriptor, grupo, value) of stored ``rows``, where they are there already.
     """
-    rows = cut_lineage(rows.select("descriptor", "id", "grupo", "value"))  # the only reading of the texts
-    hist = histogram(rows, ["descriptor", "grupo"], "value")
+    if hist is None:
+        rows = cut_lineage(rows.select("descriptor", "id", "grupo", "value"))  # the only reading of the texts
+        hist = cut_lineage(histogram(rows, ["descriptor", "grupo"], "value"))
     types = kinds(hist) if types is None else types
     usable = hist.where(F.col("grupo").isNotNull())
     typed = usable.join(F.broadcast(types.select("descriptor", "tipo")), "descriptor")
-    real = cut_lineage(group_range(typed, ["descriptor"]))
+    real = group_range(typed, ["descriptor"])
     sizes = typed.groupBy("descriptor", "tipo", "grupo").agg(F.sum("freq").alias("m"))
     # a row per descriptor and group
     groups: dict[tuple[str, str], list[int]] = {}
     for r in sorted(sizes.collect()):
         groups.setdefault((r["descriptor"], r["tipo"]), []).append(r["m"])
-    tested = {k: v for k, v in groups.items() if sum(v) >= 40 and len(v) >= 2}
+    tested = [Tested(d, tipo == "presencia", tuple(m)) for (d, tipo), m in groups.items() if sum(m) >= 40 and len(m) >= 2]
     if tested:
-        null = _shuffled(rows.where(F.col("grupo").isNotNull()), tested, permutations, seed)
+        null = shuffled_ranges(rows.where(F.col("grupo").isNotNull()), tested, permutations, seed)
         reached = null.withColumnRenamed("rango", "azar").join(F.broadcast(real), "descriptor").groupBy("descriptor").agg(
             F.avg(F.when(F.col("azar") >= F.col("rango"), 1.0).otherwise(0.0)).alias("p"))
     else:
@@ -108,39 +112,6 @@ def permutation_test(
     )
 
 
-def _shuffled(rows: DataFrame, tested: dict[tuple[str, str], list[int]], permutations: int, seed: int) -> DataFrame:
-    """(descriptor, perm, rango) of every shuffle.
-
-    A row's place among the rows of its descriptor is its place inside a slice of the shuffle
-    (ids whose md5 begins alike) plus the sizes of the slices before; no task orders a whole
-    shuffle. Places become groups by the groups' sizes, and only counts per value go on.
-    """
-    names = [d for d, _ in tested]
-    wide = rows.where(F.col("descriptor").isin(names)).groupBy("id").agg(
-        *[F.max(F.when(F.col("descriptor") == d, F.col("value"))).alias(f"v{k}") for k, d in enumerate(names)])
-    dealt = wide.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    dealt = dealt.withColumn("key", F.md5(F.concat_ws(":", "id", "perm", F.lit(seed))))
-    dealt = dealt.withColumn("slice", F.substring("key", 1, 2))
-    counts = dealt.groupBy("perm", "slice").agg(*[F.count(f"v{k}").alias(f"n{k}") for k in range(len(names))])
-    earlier = Window.partitionBy("perm").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("perm", "slice", *[
-        F.coalesce(F.sum(f"n{k}").over(earlier), F.lit(0)).alias(f"b{k}") for k in range(len(names))])
-    inside = Window.partitionBy("perm", "slice").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.select("perm", "slice", *[c for k in range(len(names)) for c in (
-        f"v{k}", F.count(f"v{k}").over(inside).alias(f"r{k}"))]).join(before, ["perm", "slice"])
-    cells = []
-    for k, ((d, tipo), sizes) in enumerate(tested.items()):
-        at, ends = F.col(f"r{k}") + F.col(f"b{k}"), [sum(sizes[:i + 1]) for i in range(len(sizes) - 1)]
-        value = F.col(f"v{k}")
-        if tipo == "presencia":  # only whether it is there counts
-            value = F.when(value.isNotNull(), (value > 0).cast("double"))
-        grupo = sum([(at > e).cast("int") for e in ends], F.lit(0))
-        cells.append(F.struct(F.lit(d).alias("descriptor"), F.lit(tipo).alias("tipo"), grupo.alias("grupo"), value.alias("value")))
-    grouped = placed.select("perm", F.inline(F.array(*cells))).where("value is not null").groupBy(
-        "descriptor", "perm", "tipo", "grupo", "value").agg(F.count(F.lit(1)).alias("freq"))
-    return group_range(grouped, ["descriptor", "perm"])
-
-
 # ------------------------------------------------------------------ the scale
 
 

@@ -472,9 +472,20 @@ def j01(spark, sf):
     return legacy_scores(spark, sf).select("content_id", *SIGNALS)
 
 
-@query("j06_j11_letter")
+# reading ease: words per sentence mark and vowel groups per word
+LETTER_SQL = J_SQL + rf""",
+jease as (select content_id, has, 206.835e0 - 1.015e0 * (n::double / s) - 84.6e0 * (g::double / n) as ease from (
+  select content_id, has, greatest(len(w), 1) as n, greatest(len(regexp_extract_all(x, '[.!?]+')), 1) as s,
+   len(regexp_extract_all(lx, '[aeiouyáéíóúüàèìòùâêîôûäö]+')) as g from jtok)),
+jread as (select *, case when not has then 0.5e0 when ease >= 30 and ease <= 60 then 1e0 when ease < 10 then 0.5e0 when ease < 30 then 0.75e0 when ease < 80 then 0.65e0 else 0.3e0 end as s_readability from jease),
+jnum as (select content_id, s_readability, {rounded('(0e0 + ' + ' + '.join(f's_{k} * {v}e0' for k, v in J.WEIGHTS.items()) + ') * 1e2', 1)} as score_numeric
+  from jsig join jread using (content_id))"""
+
+
+@query("j06_j11_letter", """select *, case when score_numeric >= 80 then 'A' when score_numeric >= 60 then 'B' when score_numeric >= 40 then 'C'
+  when score_numeric >= 20 then 'D' else 'E' end as score_letter from jnum""", LETTER_SQL)
 def j11(spark, sf):
-    """The weighted number and letter; reading ease is our own count, so no SQL twin."""
+    """The weighted number and letter; reading ease is our own count."""
     return legacy_scores(spark, sf).select("content_id", "s_readability", "score_numeric", "score_letter")
 
 

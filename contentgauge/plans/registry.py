@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = "with " + SQL_VIEWS + (",\n" + ctes if ctes else "") + "\n" + sql
+            ORACLES[name] = "with recursive " + SQL_VIEWS + (",\n" + ctes if ctes else "") + "\n" + sql
         return build
 
     return keep

@@ -528,9 +528,28 @@ def f05(spark, sf):
     return SA.sample_per_channel(items(spark, sf), 3, "11").select("id")
 
 
-@query("f06_stratified_draw")
+# the same rounds over the whole pool, without first looking for contenders
+DRAW_SQL = ITEMS_SQL + """,
+pool as materialized (select external_id, coalesce(channel_id, '?') as channel_id, stratum_format, stratum_duration, md5(external_id || ':7:sorteo') as key
+  from strata_v where stratum_format is not null and stratum_duration is not null),
+draw(external_id, channel_id, stratum_format, stratum_duration, key, taken, round, cap) as (
+  select *, false, 1, 1 from pool
+  union all
+  select external_id, channel_id, stratum_format, stratum_duration, key, taken or accepted, round + 1,
+    case when bool_or(accepted) over () then cap else cap + 1 end
+  from (select *, asks and row_number() over (partition by channel_id order by asks desc, lot, key, external_id) <= cap - used as accepted
+    from (select *, free and place <= 10 - filled as asks, md5(concat_ws(':', channel_id, stratum_format, stratum_duration, round, '7')) as lot
+      from (select *, row_number() over (partition by stratum_format, stratum_duration order by free desc, key, external_id) as place
+        from (select *, not taken and used < cap and filled < 10 as free
+          from (select *, sum(taken::int) over (partition by channel_id) as used,
+              sum(taken::int) over (partition by stratum_format, stratum_duration) as filled from draw where cap <= 2)))))),
+drawn as (select * from draw where cap = 3)"""
+
+
+@query("f06_stratified_draw", """select external_id, channel_id, stratum_format, stratum_duration, case when taken then 'principal' else 'reserva' end as sample_rank
+  from drawn qualify taken or row_number() over (partition by stratum_format, stratum_duration, taken order by key, external_id) <= 5""", DRAW_SQL)
 def f06(spark, sf):
-    """Equal allocation with a channel cap; checked by invariants in the tests."""
+    """Equal allocation with a channel cap."""
     return SA.stratified_draw(stratified(spark, sf), 120, 2, 5, "7").select(
         "external_id", "channel_id", "stratum_format", "stratum_duration", "sample_rank")
 

@@ -1,11 +1,12 @@
 import random
+from hashlib import md5
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from contentgauge.functions import lexicons as L
-from contentgauge.operators import placement as P, scale as S, skew as SK, stats as T
+from contentgauge.operators import placement as P, scale as S, shuffles, skew as SK, stats as T
 
 
 def hist_of(spark, values, descriptor="d", fmt="informativo"):
@@ -156,3 +157,27 @@ def test_spearman_uses_average_ranks(spark):
     ranks = lambda v: np.array([np.mean([j + 1 for j, w in enumerate(sorted(v)) if w == u]) for u in v])
     assert r.corr_spearman == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1], abs=1e-6)
     assert (r.n, r.pct_cambian_de_tramo, r.desplaz_percentil_mediana) == (5, 100.0, 1.0)
+
+
+@pytest.mark.parametrize("width", [5.0, 0.01])
+def test_selection_equals_sorting(spark, monkeypatch, width):
+    """Shuffled ranges next to sorting every shuffle; windows that miss are made wider."""
+    monkeypatch.setattr(shuffles, "WIDTH", width)
+    monkeypatch.setattr(shuffles, "HELD", 300)
+    rng = np.random.default_rng(3)
+    values = {"a": [(k, round(float(rng.normal()), 1)) for k in range(120)], "b": [(k, round(float(rng.normal()), 2)) for k in range(120)],
+              "c": [(k, float(rng.integers(0, 3) - 1)) for k in range(20, 120)], "d": [(k, 1.5) for k in range(0, 120, 2)]}
+    tested = [shuffles.Tested("a", False, (30, 50, 40)), shuffles.Tested("b", False, (30, 50, 40)),
+              shuffles.Tested("c", True, (60, 40)), shuffles.Tested("d", False, (1, 59))]
+    rows = [(d, k, v) for d, pairs in values.items() for k, v in pairs] + [("c", 3, None), ("z", 1, 2.0)]
+    got = shuffles.shuffled_ranges(spark.createDataFrame(rows, "descriptor string, id long, value double"), tested, 70, 9)
+    got = {(r.descriptor, r.perm): r.rango for r in got.collect()}
+    assert len(got) == 4 * 70
+    for t in tested:
+        for perm in range(70):
+            order = sorted(values[t.name], key=lambda x: md5(f"{x[0]}:{perm}:9".encode()).hexdigest())
+            stats, at = [], 0
+            for m in t.sizes:
+                part, at = [v for _, v in order[at:at + m]], at + m
+                stats.append(sum(v > 0 for v in part) / m if t.presence else float(np.quantile(part, 1 / 3)))
+            assert got[t.name, perm] == pytest.approx(max(stats) - min(stats), abs=2e-9)
