@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contentgauge.functions.numbers import half_even
 from contentgauge.plans import sql_features as Q, views as V
 from contentgauge.plans.registry import query
 from contentgauge.plans.sql_features import rounded
+from contentgauge.session import scratch_path
 from contentgauge.sources import captions as C, media_api as A, quiz_files as Z, snapshots as S
 
 # ------------------------------------------------------------------ captions
@@ -149,3 +151,28 @@ def a25(spark, sf):
         S.append_report(batch.groupBy(F.col("event_type").alias("outcome")).agg(F.count(F.lit(1)).alias("n")), path)
     back = spark.read.schema("outcome string, n bigint").option("header", True).csv(path)
     return back.groupBy("outcome").agg(F.sum("n").alias("n"))
+
+
+@query("a04_dashboard_files", "select substring(text, 1, 60) as titulo, source as canal, lang as formato, '2026-01-01' as fecha, "
+       + "round_even(n_chars / 6e2 * 1e1, 0)::double / 1e1 as minutos, n_chars::int as palabras, "
+       + ", ".join(f"((doc_id + {i}) % 101)::int as p{i}" for i in range(8)) + " from documents")
+def a04(spark, sf):
+    """Dashboard rows written as positional JSON and read back."""
+    d = V.table(spark, sf, "documents").select(
+        F.substring("text", 1, 60).alias("titulo"), F.col("source").alias("canal"), F.col("lang").alias("formato"),
+        F.lit("2026-01-01").alias("fecha"), half_even(F.col("n_chars") / 600.0, 1).alias("minutos"),
+        F.col("n_chars").cast("int").alias("palabras"), *[((F.col("doc_id") + i) % 101).cast("int").alias(f"p{i}") for i in range(8)])
+    path = scratch_path(spark, "dashboard")
+    S.write_dashboard(d, path)
+    return S.read_dashboard(spark, path)
+
+
+@query("a15b_json_files", "select event_id, case when event_id % 5 = 0 then null else value end as v, props from events")
+def a15b(spark, sf):
+    """The JSON sink, read back: NaN and infinities were written as nulls."""
+    e = F.col("event_id")
+    d = V.table(spark, sf, "events").select(
+        "event_id", F.when(e % 10 == 0, float("nan")).when(e % 10 == 5, float("inf")).otherwise(F.col("value")).alias("v"), "props")
+    path = scratch_path(spark, "json-sink")
+    S.write_json(d, path)
+    return spark.read.schema(d.schema).json(path)

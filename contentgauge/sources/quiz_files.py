@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contentgauge.sources.snapshots import write_csv
 
@@ -64,45 +59,32 @@ def write_flat(videos: DataFrame, path: str) -> None:
     write_csv(flat_questions(videos), path, sep=";")
 
 
-def _saved(text: str | None) -> str:
-    """Complete question objects of a text, as a JSON list."""
-    found, opened, quoted, escaped = [], [], False, False
-    for at, ch in enumerate(text or ""):
-        if escaped:
-            escaped = False
-        elif ch == "\\":
-            escaped = True
-        elif ch == '"':
-            quoted = not quoted
-        elif quoted:
-            continue
-        elif ch == "{":
-            opened.append(at)
-        elif ch == "}" and opened:
-            try:
-                value = json.loads(text[opened.pop():at + 1])
-            except json.JSONDecodeError:
-                continue
-            if isinstance(value, dict) and "pregunta" in value and "opciones" in value:
-                found.append(value)
-    return json.dumps(found, ensure_ascii=False)
-
-
-@F.pandas_udf(StringType())
-def _saved_batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(_saved)
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+# a whole object without an object in it; strings are read over, so their braces do not count
+OBJECT_OR_STRING = r'(?s)\{[^{}"]*+(?:' + _STRING + r'[^{}"]*+)*+\}|' + _STRING
+
+
+def saved_questions(text: Column) -> Column:
+    """The complete question objects of a text that breaks off, in order, as JSON texts.
+
+    A question holds no objects, so the pattern reads the text once: strings outside of questions are taken whole,
+    what else is not part of a complete object is passed by.
+    """
+    objects = F.filter(F.regexp_extract_all(text, F.lit(OBJECT_OR_STRING), F.lit(0)), lambda x: F.startswith(x, F.lit("{")))
+    keys = lambda x: F.json_object_keys(x)
+    return F.filter(objects, lambda x: F.try_parse_json(x).isNotNull() & F.coalesce(
+        F.array_contains(keys(x), "pregunta") & F.array_contains(keys(x), "opciones"), F.lit(False)))
 
 
 def parse_questions(raw: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """(keys, n_orden, question columns) from generated JSON texts.
 
-    Whole texts are read by Spark; only those that do not parse take the slow way, which
-    keeps every complete question before the cut.
+    A text that does not parse gives every complete question before the cut.
     """
     text = F.trim(column)
     whole = F.try_parse_json(text).isNotNull()
     good = raw.where(whole).select(
         *keys, F.from_json(text, f"STRUCT<preguntas: ARRAY<{GENERATED}>>")["preguntas"].alias("q"))
-    cut = raw.where(~whole).select(*keys, F.from_json(_saved_batch(F.col(column)), f"ARRAY<{GENERATED}>").alias("q"))
+    cut = raw.where(~whole).select(*keys, F.transform(
+        saved_questions(F.col(column)), lambda x: F.from_json(x, GENERATED)).alias("q"))
     return good.unionByName(cut).select(*keys, F.posexplode("q").alias("n_orden", "q")).select(*keys, "n_orden", "q.*")

@@ -43,6 +43,16 @@ def read_dashboard(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col("r")[i].cast(t).alias(n) for i, (n, t) in enumerate(zip(DASHBOARD, DASHBOARD_TYPES))])
 
 
+def write_dashboard(rows: DataFrame, path: str, per_file: int = 1_000) -> None:
+    """The columns of ``DASHBOARD`` as files of about ``per_file`` rows, each a JSON array of arrays."""
+    files = max(1, -(-rows.count() // per_file))
+    place = F.pmod(F.xxhash64(*DASHBOARD), F.lit(files)).alias("file")
+    text = F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value")
+    values = [F.coalesce(F.to_json(F.array(F.col(c))), F.lit("[null]")) for c in DASHBOARD]
+    row = F.concat(F.lit("["), F.array_join(F.array(*[F.substring(v, F.lit(2), F.length(v) - 2) for v in values]), ","), F.lit("]")).alias("r")
+    rows.select(place, row).groupBy("file").agg(text).write.mode("overwrite").partitionBy("file").text(path)
+
+
 def read_items_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An item export: header, quoted line breaks, doubled quotes."""
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"')

@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from contentgauge.functions import lexicons as L, strata
@@ -16,6 +17,7 @@ from contentgauge.operators import merge, placement
 from contentgauge.operators.diet import local_time
 from contentgauge.operators.indicators import describe
 from contentgauge.operators.queue import GIVE_UP_SECONDS, RETRY_SECONDS
+from contentgauge.operators.skew import previous_in_time, running_total
 from contentgauge.streaming.tables import current, read_log, write_batch
 
 PAYLOAD = """video_id STRING, title STRING, url STRING, channel STRING, duration_seconds INT,
@@ -131,61 +133,92 @@ def throttle(attempts: DataFrame, seconds: int = RETRY_SECONDS, delay: str = "10
 
 
 def throttle_rows(attempts: DataFrame, seconds: int = RETRY_SECONDS) -> DataFrame:
-    """The same over a table. One row per (item, second) is left before the shuffle, and
-    a task reads its items in order, batch by batch."""
-    kind = attempts.schema["item"].dataType.simpleString()
+    """The same over a table, (item, at), in columns.
+
+    An attempt that comes ``seconds`` or more after its predecessor always passes, since whatever passed
+    before lies no later than that. So an item's attempts fall into segments that know nothing of each
+    other, and a segment is folded by itself. Predecessors and segment numbers are taken day by day and
+    put together from a row per item and day: no task holds an item with very many attempts.
+    """
     folded = attempts.select("item", F.floor(F.unix_micros("at") / 1_000_000).cast("long").alias("at")).distinct()
+    folded = folded.withColumn("_ts", F.timestamp_seconds("at"))
+    folded = previous_in_time(folded, "item", "_ts", "at", "_earlier")
+    gap = F.col("at") - F.unix_seconds("_earlier")
+    folded = folded.withColumn("_new", F.when(gap.isNull() | (gap >= seconds), 1).otherwise(0))
+    folded = running_total(folded, "item", "_ts", "at", "_new", "_segment")
+    segments = folded.groupBy("item", "_segment").agg(F.array_sort(F.collect_list("at")).alias("_all"))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        item, last = None, None
-        for batch in batches:
-            keep = []
-            for i, second in zip(batch["item"].tolist(), batch["at"].tolist()):
-                if i != item:
-                    item, last = i, None
-                passed = last is None or second - last >= seconds
-                last = second if passed else last
-                keep.append(passed)
-            yield batch[keep]
+    def step(state: Column, at: Column) -> Column:
+        passes = state["last"].isNull() | (at - state["last"] >= seconds)
+        return F.struct(F.when(passes, at).otherwise(state["last"]).alias("last"), F.when(
+            passes, F.concat(state["out"], F.array(at))).otherwise(state["out"]).alias("out"))
 
-    return folded.repartition("item").sortWithinPartitions("item", "at").mapInPandas(walk, f"item {kind}, at bigint")
+    begin = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    return segments.select("item", F.explode(F.aggregate("_all", begin, step, lambda state: state["out"])).alias("at"))
 
 
-def time_out(progress: DataFrame, seconds: int = GIVE_UP_SECONDS, delay: str = "0 seconds") -> DataFrame:
-    """Items whose work began and was not reported done in time.
+class Watch(StatefulProcessor):
+    """A start arms an event-time timer, a report disarms it; a timer that fires, or a row that comes after its time,
+    gives (item, started, motivo). State: the start, in a value that is cleared with its timer."""
 
-    ``progress``: item, at, done. A start arms an event-time timer; a report disarms it;
-    a timer that fires gives (item, started, 'enriquecimiento_incompleto').
-    """
+    MOTIVO = "enriquecimiento_incompleto"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            started = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"item": [key[0]], "started": [started], "motivo": ["enriquecimiento_incompleto"]})
-            return
-        started = state.get[0] if state.exists else None
-        late: list[int] = []
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.started = handle.getValueState("started", "us bigint")
+
+    def _rows(self, key: Any, late: list[int]) -> pd.DataFrame:
+        # plain objects: pandas' own string columns come in chunks, which the state's serializer does not take
+        of = lambda x: pd.Series([x] * len(late), dtype=object)
+        return pd.DataFrame({"item": of(key[0]), "started": pd.Series(late, dtype="int64"), "motivo": of(self.MOTIVO)})
+
+    def _due(self, started: int) -> int:
+        return started // 1000 + self.seconds * 1000
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        before = self.started.get()[0] if self.started.exists() else None
+        started, late = before, []
         reports: set[tuple[int, bool]] = set()
-        for batch in batches:
-            reports.update(zip(batch["us"].tolist(), batch["done"].tolist()))
+        for batch in rows:
+            reports.update(zip(batch["us"].tolist(), batch["done"].tolist(), strict=True))
         for at, done in sorted(reports):
-            if started is not None and at - started > seconds * 1_000_000:
+            if started is not None and at - started > self.seconds * 1_000_000:
                 late.append(started)
                 started = None
             started = None if done else (at if started is None else started)
-        if started is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((started,))
-            state.setTimeoutTimestamp(max(started // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"item": [key[0]] * len(late), "started": late, "motivo": ["enriquecimiento_incompleto"] * len(late)})
+        if before is not None and started != before:
+            self.handle.deleteTimer(self._due(before))
+            self.started.clear()
+        if started is not None and started != before:
+            self.started.update((started,))
+            self.handle.registerTimer(self._due(started))
+        yield self._rows(key, late)
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        late = [self.started.get()[0]] if self.started.exists() else []
+        self.started.clear()
+        yield self._rows(key, late)
 
+    def close(self) -> None:
+        pass
+
+
+def time_out(progress: DataFrame, seconds: int = GIVE_UP_SECONDS, delay: str = "0 seconds") -> DataFrame:
+    """(item, started, motivo) of items whose work began and was not reported done in time.
+
+    ``progress``: item, at, done. State and timers are kept by the RocksDB state store, the only one that
+    holds both; it is set for the session.
+    """
+    progress.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = progress.schema["item"].dataType.simpleString()
     rows = progress.withWatermark("at", delay).select("item", "at", F.unix_micros("at").alias("us"), "done")
-    return rows.groupBy("item").applyInPandasWithState(
-        step, f"item {kind}, started bigint, motivo string", "started bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("item").transformWithStateInPandas(
+        Watch(seconds), f"item {kind}, started bigint, motivo string", "Append", "EventTime")
 
 
 # ------------------------------------------------------------------ N6: outcomes
