@@ -20,12 +20,12 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHED = 600_000
-SHORT = 200
 
 
 def byte_symbols() -> list[str]:
@@ -187,13 +187,21 @@ class Lockstep:
 
 
 class Transducer:
-    """Ids of one piece, whose bytes come in parts; holds a bounded window."""
+    """Ids of one piece, whose bytes come in parts; holds a bounded window.
+
+    Nothing is emitted before the window is full. A piece that ends in its first window therefore has
+    one merge, that of ``finish``; the encoder takes these ends of many pieces together (``Lockstep``).
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.window = 2 * (vocabulary.lookahead + vocabulary.longest + 1)
+        self.window = self.size(vocabulary)
         self.held: list[str] = []
 
+    @staticmethod
+    def size(vocabulary: Vocabulary) -> int:
+        return 2 * (vocabulary.lookahead + vocabulary.longest + 1)
+
     def feed(self, part: bytes) -> Iterator[int]:
         for at in range(0, len(part), self.window):
             self.held += [self.v.symbols[b] for b in part[at:at + self.window]]
@@ -220,7 +228,7 @@ class Transducer:
 
 class Encoder:
     """Ids of whole texts. Words (runs without white space) and pieces are kept in a bounded memory;
-    short pieces are merged together, long ones stream through a transducer."""
+    every piece is a transducer's, whose window most pieces do not fill: their ends are merged together."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -228,6 +236,7 @@ class Encoder:
         self.lockstep = Lockstep(vocabulary.rules)
         self.byte_id = np.array([vocabulary.ids[s] for s in vocabulary.symbols], np.int32)
         self.last_id = np.array([vocabulary.ids[s + vocabulary.end] for s in vocabulary.symbols], np.int32)
+        self.window = Transducer.size(vocabulary)
         self.known: dict[str, bytes] = {}
         self.piece: dict[str, bytes] = {}
 
@@ -239,18 +248,20 @@ class Encoder:
         return [x for k, part in enumerate(parts) for x in ([part] if k % 2 else self.v.pieces.findall(self.v.normalised(part)))]
 
     def _learn(self, pieces: list[str]) -> None:
-        short = []
+        ending = []
         for piece in pieces:
             if piece in self.v.special:
                 self.piece[piece] = np.array([self.v.special[piece]], np.int32).tobytes()
-            elif len(piece) > SHORT:
-                transducer = Transducer(self.v)
-                ids = [*transducer.feed(piece.encode())]
-                self.piece[piece] = np.array(ids + transducer.finish(), np.int32).tobytes()
-            else:
-                short.append(piece)
-        if short:
-            coded = [p.encode() for p in short]
+                continue
+            raw = piece.encode()
+            if len(raw) < self.window:
+                ending.append((piece, raw))
+                continue
+            transducer = Transducer(self.v)
+            ids = [*transducer.feed(raw)]
+            self.piece[piece] = np.array(ids + transducer.finish(), np.int32).tobytes()
+        if ending:
+            short, coded = zip(*ending, strict=True)
             sizes = np.array([*map(len, coded)])
             raw = np.frombuffer(b"".join(coded), np.uint8)
             tokens, ends = self.byte_id[raw], np.cumsum(sizes) - 1
@@ -298,6 +309,32 @@ class Decoder:
         return self.text.decode(b"", True)
 
 
+class Strings:
+    """``Decoder`` for files without a decoder, a column of id lists at once: its state is only whether a token came
+    before, so a text is its token strings, joined."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        top = max(vocabulary.tokens, default=-1) + 1
+        self.tokens = pa.array([vocabulary.tokens.get(i) or None for i in range(top)] + [None], pa.string())
+
+    def joined(self, column: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+        ids = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
+        unknown = len(self.tokens) - 1
+        found = self.tokens.take(pa.array(np.where((ids < 0) | (ids >= unknown), unknown, ids).astype(np.int64)))
+        if found.null_count:
+            known = found.is_valid().to_numpy(zero_copy_only=False)
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes))
+            found = found.drop_null()
+        ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), found), " ")
+
+
+@lru_cache(maxsize=4)
+def strings(path: str) -> Strings:
+    return Strings(vocabulary(path))
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     """Read once in a worker; ``path`` must exist on every machine, as installed files do."""
@@ -327,6 +364,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded", pa
     @F.arrow_udf("string")
     def texts(column: pa.Array) -> pa.Array:
         words, out = vocabulary(path), []
+        if words.decoder is None:
+            return strings(path).joined(column)
         for row in column:
             state, values = Decoder(words), row.values
             values = [] if values is None else values.to_numpy(zero_copy_only=False)
