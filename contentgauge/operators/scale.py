@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from contentgauge.functions import lexicons as L
 from contentgauge.functions.numbers import half_even, ratio
 from contentgauge.operators.shuffles import Tested, shuffled_ranges
-from contentgauge.operators.skew import histogram, quantile
+from contentgauge.operators.skew import ROWS_PER_TASK, histogram, quantile, salted_join
 from contentgauge.session import cut_lineage
 
 GRID = [i / 100 for i in range(101)]
@@ -249,21 +249,24 @@ def tercile_place(value: Column, p33: Column, p67: Column) -> Column:
     )
 
 
-def strict_percentile(values: DataFrame, hist: DataFrame) -> DataFrame:
+def strict_percentile(values: DataFrame, hist: DataFrame, row_id: str = "content_id", per_task: int = ROWS_PER_TASK) -> DataFrame:
     """100 * share of reference values strictly below, 1 decimal.
 
-    ``values``: descriptor, value (+ keys). The running count is taken over distinct
-    values of both sides; ``values`` is joined back on (descriptor, value).
+    ``values``: descriptor, value, ``row_id`` (+ keys); read twice, so give it written. Ranks
+    are taken over the distinct values of both sides. Many items share a value (0 above all):
+    its rows are dealt over as many tasks as their count asks for.
     """
-    wanted = values.where("value is not null").select("descriptor", "value").distinct().withColumn("freq", F.lit(0))
-    merged = hist.select("descriptor", "value", "freq").unionByName(wanted).groupBy("descriptor", "value").agg(
-        F.sum("freq").alias("freq"))
+    wanted = values.where("value is not null").groupBy("descriptor", "value").agg(F.count(F.lit(1)).alias("_own"))
+    merged = hist.select("descriptor", "value", "freq", F.lit(0).alias("_own")).unionByName(
+        wanted.withColumn("freq", F.lit(0))).groupBy("descriptor", "value").agg(
+        F.sum("freq").alias("freq"), F.sum("_own").alias("_own"))
     before = Window.partitionBy("descriptor").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("descriptor")
     ranked = merged.select(
-        "descriptor", "value", F.coalesce(F.sum("freq").over(before), F.lit(0)).alias("_below"),
+        "descriptor", "value", "_own", F.coalesce(F.sum("freq").over(before), F.lit(0)).alias("_below"),
         F.sum("freq").over(whole).alias("_all"),
-    )
-    return values.join(ranked, ["descriptor", "value"], "left").withColumn(
+    ).where("_own > 0").drop("_own")
+    joined = salted_join(values, ranked, ["descriptor", "value"], row_id, "left", per_task)
+    return joined.withColumn(
         "percentil", half_even(F.when(F.col("_all") > 0, F.lit(100.0) * F.col("_below") / F.col("_all")), 1)
     ).drop("_below", "_all")

@@ -49,29 +49,31 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return folded.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def hot_keys(df: DataFrame, key: str, per_task: int) -> DataFrame:
+def hot_keys(df: DataFrame, key: str | Sequence[str], per_task: int) -> DataFrame:
     """(key, _salts): keys with more rows than a task should hold, and over how many to deal them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_task)
-    return counts.select(key, F.ceil(F.col("_n") / per_task).cast("int").alias("_salts"))
+    keys = [key] if isinstance(key, str) else list(key)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_task)
+    return counts.select(*keys, F.ceil(F.col("_n") / per_task).cast("int").alias("_salts"))
 
 
 def salted_join(
-    rows: DataFrame, lookup: DataFrame, key: str, row_id: str, how: str = "inner", per_task: int = ROWS_PER_TASK,
-    raw: DataFrame | None = None,
+    rows: DataFrame, lookup: DataFrame, key: str | Sequence[str], row_id: str, how: str = "inner",
+    per_task: int = ROWS_PER_TASK, raw: DataFrame | None = None,
 ) -> DataFrame:
-    """rows ⋈ lookup on ``key`` where a few keys may hold most of ``rows``.
+    """rows ⋈ lookup on ``key`` (one column or several) where a few keys may hold most of ``rows``.
 
     Rows of a hot key are dealt over as many tasks as its own count asks for, and only the
     lookup rows of hot keys are repeated as often. Keys are counted on ``raw``, a cheaper table
     with the same keys (``rows`` where there is none). Plan side only, no action.
     """
     # no more keys than rows / per_task, half a million for 10^12 rows
-    hot = F.broadcast(hot_keys(raw if raw is not None else rows, key, per_task))
-    dealt = rows.join(hot, key, "left").withColumn(
+    keys = [key] if isinstance(key, str) else list(key)
+    hot = F.broadcast(hot_keys(raw if raw is not None else rows, keys, per_task))
+    dealt = rows.join(hot, keys, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-    repeated = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
+    repeated = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def previous_in_time(

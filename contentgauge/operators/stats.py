@@ -8,8 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contentgauge.functions import lexicons as L
-from contentgauge.functions.numbers import flag, half_even, ratio
-from contentgauge.operators.skew import histogram, quantile
+from contentgauge.functions.numbers import half_even, ratio
+from contentgauge.operators.skew import quantile
+from contentgauge.session import cut_lineage
 
 
 def explained_variance(long: DataFrame, group: str) -> DataFrame:
@@ -131,29 +132,46 @@ def average_ranks(hist: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     return hist.select(*keys, value, (below + (F.col("freq") + 1) / 2.0).alias("rank"))
 
 
+def weighted_corr(x: str, y: str, freq: str = "freq") -> Column:
+    """Pearson over a joint histogram whose columns are centred, null when one side is constant."""
+    total = lambda a, b: F.sum(F.col(freq) * F.col(a) * F.col(b))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(total(x, y), F.sqrt(total(x, x)) * F.sqrt(total(y, y))))
+
+
 def calibration(pairs: DataFrame) -> DataFrame:
     """Two instruments on the same items. ``pairs``: descriptor, x, y, pct_x, pct_y,
     tramo_x, tramo_y. Correlations, median relative change, percentile shift and the
-    share of items that change tercile."""
-    complete = pairs.where("x is not null and y is not null")
-    rx = average_ranks(histogram(complete, ["descriptor"], "x"), ["descriptor"], "x").withColumnRenamed("rank", "rx")
-    ry = average_ranks(histogram(complete, ["descriptor"], "y"), ["descriptor"], "y").withColumnRenamed("rank", "ry")
-    ranked = complete.join(rx, ["descriptor", "x"]).join(ry, ["descriptor", "y"])
-    base = ranked.groupBy("descriptor").agg(
-        F.count(F.lit(1)).alias("n"),
-        half_even(safe_corr(F.col("x"), F.col("y")), 6).alias("corr_pearson"),
-        half_even(safe_corr(F.col("rx"), F.col("ry")), 6).alias("corr_spearman"),
-        F.sum(flag(F.col("tramo_x").isNotNull() & F.col("tramo_y").isNotNull())).alias("n_comparables"),
-        F.sum(flag(F.col("tramo_x") != F.col("tramo_y"))).alias("_moved"),
+    share of items that change tercile.
+
+    ``pairs`` is read once, into its joint histogram: items that agree in everything (0 with
+    both instruments above all) are one row of it before anything is shuffled, and ranks,
+    moments and quantiles are taken from its rows and their counts.
+    """
+    joint = cut_lineage(pairs.where("x is not null and y is not null").groupBy(
+        "descriptor", "x", "y", "pct_x", "pct_y", "tramo_x", "tramo_y").agg(F.count(F.lit(1)).alias("freq")))
+    side = lambda v: average_ranks(
+        joint.groupBy("descriptor", v).agg(F.sum("freq").alias("freq")), ["descriptor"], v).withColumnRenamed("rank", f"r{v}")
+    ranked = joint.join(side("x"), ["descriptor", "x"]).join(side("y"), ["descriptor", "y"])
+    # the mean of average ranks is known, that of the values is counted: a row per descriptor
+    means = joint.groupBy("descriptor").agg(
+        F.sum("freq").alias("_n"), *[(F.sum(F.col(v) * F.col("freq")) / F.sum("freq")).alias(f"_m{v}") for v in "xy"])
+    centred = ranked.join(F.broadcast(means), "descriptor").withColumns({
+        **{f"_c{v}": F.col(v) - F.col(f"_m{v}") for v in "xy"},
+        **{f"_r{v}": F.col(f"r{v}") - (F.col("_n") + 1) / 2.0 for v in "xy"}})
+    comparable = F.col("tramo_x").isNotNull() & F.col("tramo_y").isNotNull()
+    counted = lambda condition: F.sum(F.when(condition, F.col("freq")).otherwise(0))
+    relative = F.when(F.col("x") != 0, half_even(F.abs((F.col("y") - F.col("x")) / F.col("x")), 6))
+    base = centred.groupBy("descriptor").agg(
+        F.sum("freq").alias("n"),
+        half_even(weighted_corr("_cx", "_cy"), 6).alias("corr_pearson"),
+        half_even(weighted_corr("_rx", "_ry"), 6).alias("corr_spearman"),
+        counted(comparable).alias("n_comparables"),
+        counted(F.col("tramo_x") != F.col("tramo_y")).alias("_moved"),
+        half_even(quantile(relative, 0.5), 6).alias("cambio_relativo_mediano"),
+        quantile(F.abs(F.col("pct_y") - F.col("pct_x")), [0.5, 0.9]).alias("_s"),
     )
-    relative = complete.where("x <> 0").withColumn("v", half_even(F.abs((F.col("y") - F.col("x")) / F.col("x")), 6))
-    change = histogram(relative, ["descriptor"], "v").groupBy("descriptor").agg(
-        half_even(quantile("v", 0.5), 6).alias("cambio_relativo_mediano"))
-    moved = complete.withColumn("v", F.abs(F.col("pct_y") - F.col("pct_x")))
-    shift = histogram(moved, ["descriptor"], "v").groupBy("descriptor").agg(
-        quantile("v", [0.5, 0.9]).alias("_s")).select(
-        "descriptor", half_even(F.col("_s")[0], 6).alias("desplaz_percentil_mediana"),
-        half_even(F.col("_s")[1], 6).alias("desplaz_percentil_p90"))
-    share = half_even(100.0 * ratio(F.col("_moved"), F.col("n_comparables")), 6)
-    return base.join(F.broadcast(change), "descriptor", "left").join(F.broadcast(shift), "descriptor", "left").withColumn(
-        "pct_cambian_de_tramo", share).drop("_moved")
+    return base.select(
+        "descriptor", "n", "corr_pearson", "corr_spearman", "n_comparables", "cambio_relativo_mediano",
+        half_even(F.col("_s")[0], 6).alias("desplaz_percentil_mediana"), half_even(F.col("_s")[1], 6).alias("desplaz_percentil_p90"),
+        half_even(100.0 * ratio(F.col("_moved"), F.col("n_comparables")), 6).alias("pct_cambian_de_tramo"))

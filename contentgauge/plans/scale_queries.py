@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from contentgauge.functions import lexicons as L
 from contentgauge.operators import placement as P, scale as S, stats as T
 from contentgauge.plans import sql_features as Q, views as V
-from contentgauge.plans.common import described, reference_histogram, reference_scale, tested
+from contentgauge.operators.skew import histogram
+from contentgauge.plans.common import described, reference_histogram, reference_rows, reference_scale, tested
 from contentgauge.plans.registry import query
 from contentgauge.plans.sql_features import rounded, text
+from contentgauge.session import cut_lineage
 
 GRID_SQL = "[" + ", ".join(f"{i}e0/1e2" for i in range(101)) + "]"
 PERMS, SEED = L.PERMUTATIONS, 20260812
@@ -115,7 +117,7 @@ def k02(spark, sf):
 def k03(spark, sf):
     rows = S.long_form(described(spark, sf, "historial").where("v_apto_panel = 1"), ["content_id"])
     hist = reference_histogram(spark, sf)
-    return S.strict_percentile(rows.where("value is not null"), hist).select("content_id", "descriptor", "percentil")
+    return S.strict_percentile(cut_lineage(rows.where("value is not null")), hist).select("content_id", "descriptor", "percentil")
 
 
 CUTS = KINDS + """,
@@ -141,13 +143,16 @@ cuts as (select s.formato, s.duracion, s.descriptor, coalesce(c.n, 0)::bigint as
   where h.corpus = 'historial' and h.apt""", CUTS)
 def k04(spark, sf):
     rows = S.long_form(described(spark, sf, "historial").where("v_apto_panel = 1"), ["content_id", "formato", "duracion"])
-    cuts = S.cell_cuts(reference_histogram(spark, sf), cell_rows=_cell_rows(spark, sf)).select("formato", "duracion", "descriptor", "p33", "p67")
+    cuts = _cell_cuts(spark, sf).select("formato", "duracion", "descriptor", "p33", "p67")
     placed = rows.join(F.broadcast(cuts), ["formato", "duracion", "descriptor"], "left")
     return placed.select("content_id", "descriptor", S.tercile_place(F.col("value"), F.col("p33"), F.col("p67")).alias("tramo"))
 
 
-def _cell_rows(spark, sf):
-    return S.cell_sizes(described(spark, sf, "referencia").where("v_apto_panel = 1"))
+def _cell_cuts(spark, sf):
+    """Cuts per cell; values and sizes of the cells from one reading of the texts."""
+    rows = reference_rows(spark, sf).withColumnRenamed("grupo", "formato")
+    sizes = S.cell_sizes(rows.where(F.col("descriptor") == next(iter(L.PANEL))))
+    return S.cell_cuts(histogram(rows, ["descriptor", "formato", "duracion"], "value"), cell_rows=sizes)
 
 
 @query("k05_descriptor_type", f"select descriptor, n, {rounded('frac_cero', 6)} as frac_cero, tipo from kinds", KINDS)
@@ -196,7 +201,7 @@ def k09b(spark, sf):
   coalesce(own, overall).p50 as p50, coalesce(own, overall).p67 as p67, coalesce(own, overall).mn as min, coalesce(own, overall).mx as max,
   own is null as fallback_global from cuts where coalesce(own, overall) is not null""", CUTS)
 def k10(spark, sf):
-    return S.cell_cuts(reference_histogram(spark, sf), cell_rows=_cell_rows(spark, sf))
+    return _cell_cuts(spark, sf)
 
 
 @query("k10b_uncut_cells", """select coalesce(formato || '/' || duracion, 'GLOBAL') as donde, descriptor,

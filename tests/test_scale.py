@@ -159,6 +159,42 @@ def test_spearman_uses_average_ranks(spark):
     assert (r.n, r.pct_cambian_de_tramo, r.desplaz_percentil_mediana) == (5, 100.0, 1.0)
 
 
+def test_calibration_of_repeated_pairs(spark):
+    """Moments and quantiles from counts, next to the rows themselves."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(400) < 0.5, 0.0, rng.integers(1, 30, 400) / 4)
+    y = np.where(rng.random(400) < 0.8, x, rng.integers(0, 30, 400) / 4)
+    px, py = np.floor(x * 13), np.floor(y * 13)
+    name = lambda p: None if p > 90 else "bajo" if p <= 33 else "alto"
+    rows = [("d", float(a), float(b), float(p), float(q), name(p), name(q)) for a, b, p, q in zip(x, y, px, py)]
+    rows += [("flat", 3.0, float(k), 1.0, 1.0, None, "bajo") for k in range(4)] + [("d", None, 1.0, None, 1.0, None, None)]
+    got = T.calibration(spark.createDataFrame(
+        rows, "descriptor string, x double, y double, pct_x double, pct_y double, tramo_x string, tramo_y string")).collect()
+    got = {r.descriptor: r for r in got}
+    d, flat = got["d"], got["flat"]
+    ranks = lambda v: (np.searchsorted(np.sort(v), v) + np.searchsorted(np.sort(v), v, side="right") + 1) / 2
+    assert d.n == 400 and d.corr_pearson == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-6)
+    assert d.corr_spearman == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1], abs=1e-6)
+    assert d.cambio_relativo_mediano == pytest.approx(np.median(np.abs(y - x)[x != 0] / x[x != 0]), abs=1e-6)
+    assert d.desplaz_percentil_p90 == pytest.approx(np.quantile(np.abs(py - px), 0.9), abs=1e-6)
+    both = [(name(p), name(q)) for p, q in zip(px, py) if name(p) and name(q)]
+    assert d.n_comparables == len(both) and d.pct_cambian_de_tramo == pytest.approx(
+        100 * sum(a != b for a, b in both) / len(both), abs=1e-6)
+    assert (flat.n, flat.corr_pearson, flat.corr_spearman, flat.n_comparables, flat.pct_cambian_de_tramo) == (4, None, None, 0, None)
+
+
+@pytest.mark.parametrize("per_task", [2_000_000, 7])
+def test_strict_percentile_with_a_hot_value(spark, per_task):
+    """Half of the items share a value; dealt over tasks or not, no row is lost or doubled."""
+    values = [(k, "d", 0.0 if k % 2 else float(k % 9)) for k in range(200)] + [(200, "new", 1.0), (201, "d", None), (202, "d", 0.0)]
+    hist = [("d", float(v), 3 + v) for v in range(5)]
+    got = S.strict_percentile(
+        spark.createDataFrame(values, "content_id long, descriptor string, value double"),
+        spark.createDataFrame(hist, "descriptor string, value double, freq long"), per_task=per_task).collect()
+    want = {k: None if d == "new" or v is None else round(100 * sum(f for _, w, f in hist if w < v) / 25, 1) for k, d, v in values}
+    assert len(got) == len(values) and {r.content_id: r.percentil for r in got} == want
+
+
 @pytest.mark.parametrize("width", [5.0, 0.01])
 def test_selection_equals_sorting(spark, monkeypatch, width):
     """Shuffled ranges next to sorting every shuffle; windows that miss are made wider."""
