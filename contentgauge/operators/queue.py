@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.functions.numbers import flag
@@ -68,17 +70,19 @@ def pending_panels(items: DataFrame, gold: DataFrame, corpus: str | None = None,
     return rows.orderBy("created_at", "id").limit(limit) if limit else rows
 
 
-def permanent_failure(errors: Column) -> Column:
-    """Why trying again is pointless: blocked region, gone, or no captions; else null."""
+def permanent_failure(
+    errors: Column, geo: Sequence[str] = GEO_HINTS, gone: Sequence[str] = GONE_HINTS, no_subs: Sequence[str] = NO_SUBS_HINTS,
+) -> Column:
+    """Why trying again is pointless: blocked region, gone, or no captions; else null. Hints in lower case."""
     text = F.lower(errors)
     return (
-        F.when(contains_any(text, GEO_HINTS), "geo_blocked").when(contains_any(text, GONE_HINTS), "unavailable")
-        .when(contains_any(text, NO_SUBS_HINTS), "no_subs")
+        F.when(contains_any(text, geo), "geo_blocked").when(contains_any(text, gone), "unavailable")
+        .when(contains_any(text, no_subs), "no_subs")
     )
 
 
-def outcome(has_meta: Column, has_text: Column, errors: Column) -> Column:
-    lasting = F.when(~has_text, permanent_failure(errors))
+def outcome(has_meta: Column, has_text: Column, errors: Column, **hints: Sequence[str]) -> Column:
+    lasting = F.when(~has_text, permanent_failure(errors, **hints))
     return (
         F.when(has_meta & has_text, "ok").when(lasting.isNotNull(), lasting)
         .when(has_meta | has_text, "partial").otherwise("failed")

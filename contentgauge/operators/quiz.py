@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentgauge.functions.numbers import flag, half_even, ratio
@@ -121,8 +123,8 @@ def balance(options: Column, correct: Column) -> Column:
     return F.struct((motive == "equilibradas").alias("ok"), motive.alias("motivo"))
 
 
-def is_advert(quote: Column) -> Column:
-    return contains_any(quiz_fold(quote), ADVERT_PHRASES)
+def is_advert(quote: Column, phrases: Sequence[str] = ADVERT_PHRASES) -> Column:
+    return contains_any(quiz_fold(quote), phrases)
 
 
 def shuffled_options(options: Column, correct: Column, key: Column, seed: str) -> Column:

@@ -99,24 +99,19 @@ def h08(spark, sf):
                     F.size(K.traceable(F.col("u"))).cast("long").alias("traceable"))
 
 
-ISO = "concat('P', case when event_id % 7 = 0 then (event_id % 3)::varchar || 'D' else '' end, 'T', case when event_id % 2 = 0 then (event_id % 5)::varchar || 'H' else '' end, (event_id % 60)::varchar || 'M', case when event_id % 3 = 0 then (event_id % 59)::varchar || 'S' else '' end)"
-
-
-@query("h10_iso_durations", """select event_id, iso, d * 86400 + h * 3600 + m * 60 + s as with_days,
-  case when iso like 'PT%' then nullif(h * 3600 + m * 60 + s, 0) end as clock_only from p""", f"""
- e as (select event_id, {ISO} as iso from events),
- p as (select *, coalesce(nullif(regexp_extract(iso, 'P([0-9]+)D', 1), '')::bigint, 0) as d,
-  coalesce(nullif(regexp_extract(iso, '([0-9]+)H', 1), '')::bigint, 0) as h,
-  coalesce(nullif(regexp_extract(iso, '([0-9]+)M', 1), '')::bigint, 0) as m,
-  coalesce(nullif(regexp_extract(iso, '([0-9]+)S', 1), '')::bigint, 0) as s from e)""")
+# lengths of the texts as seconds, written as durations with days (from a day on) or without; the other texts stand for what is no duration
+@query("h10_iso_durations", """select doc_id, case when lang <> 'es' then s end as with_days, case when lang = 'en' or lang <> 'es' and s < 86400 then nullif(s, 0) end as clock_only
+ from (select doc_id, lang, n_chars * 97 as s from documents)""")
 def h10(spark, sf):
-    e = F.col("event_id")
-    part = lambda cond, n, unit: F.when(cond, F.concat((e % n).cast("string"), F.lit(unit))).otherwise("")
-    iso = F.concat(F.lit("P"), part(e % 7 == 0, 3, "D"), F.lit("T"), part(e % 2 == 0, 5, "H"),
-                   part(F.lit(True), 60, "M"), part(e % 3 == 0, 59, "S"))
-    d = V.table(spark, sf, "events").select("event_id", iso.alias("iso"))
-    return d.select("event_id", "iso", numbers.iso_seconds(F.col("iso"), True).alias("with_days"),
-                    numbers.iso_seconds(F.col("iso")).alias("clock_only"))
+    s = F.col("n_chars") * 97
+    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+    whole = lambda n: F.floor(n).cast("long")
+    clock = F.concat(part(whole(s % 3600 / 60), "M"), part(s % 60, "S"))
+    iso = F.when(F.col("lang") == "en", F.concat(F.lit("PT"), part(whole(s / 3600), "H"), clock)).when(
+        F.col("lang") != "es", F.concat(F.lit("P"), part(whole(s / 86400), "D"), F.lit("T"), part(whole(s % 86400 / 3600), "H"), clock)
+    ).otherwise(F.col("text"))
+    d = V.table(spark, sf, "documents").select("doc_id", iso.alias("iso"))
+    return d.select("doc_id", numbers.iso_seconds(F.col("iso"), True).alias("with_days"), numbers.iso_seconds(F.col("iso")).alias("clock_only"))
 
 
 HINTS = ["error", "view", "zzz"]
@@ -140,13 +135,16 @@ def h12(spark, sf):
                     age_days(F.col("ts"), F.lit("2023-06-15 00:00:00").cast("timestamp")).alias("edad"))
 
 
-@query("h14_json_lists", """select event_id, len(from_json(case when event_id % 3 = 0 then '["' || event_type || '","x"]' when event_id % 3 = 1 then '[]' else null end, '["VARCHAR"]'))::bigint as n
- from events where event_id % 3 <> 2 union all select event_id, 0 from events where event_id % 3 = 2""")
+# whole texts as JSON lists of their words, next to texts that are no JSON and objects that are no list
+@query("h14_json_lists", """select 'words' as kind, doc_id as id, coalesce(len(string_split(text, ' ')), 0)::bigint as n, md5(coalesce(text, '')) as words from documents
+ union all select 'text', doc_id, 0, md5('') from documents union all select 'props', event_id, 0, md5('') from events""")
 def h14(spark, sf):
-    e = F.col("event_id")
-    raw = F.when(e % 3 == 0, F.concat(F.lit('["'), "event_type", F.lit('","x"]'))).when(e % 3 == 1, "[]").otherwise(
-        F.when(e % 2 == 0, "not a list"))
-    return V.table(spark, sf, "events").select("event_id", F.size(T.json_list(raw)).cast("long").alias("n"))
+    docs, events = V.table(spark, sf, "documents"), V.table(spark, sf, "events")
+    rows = docs.select(F.lit("words").alias("kind"), F.col("doc_id").alias("id"), F.to_json(F.split("text", " ")).alias("raw")).unionByName(
+        docs.select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("raw"))).unionByName(
+        events.select(F.lit("props").alias("kind"), F.col("event_id").alias("id"), F.col("props").alias("raw")))
+    listed = rows.select("kind", "id", T.json_list(F.col("raw")).alias("l"))
+    return listed.select("kind", "id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", " ")).alias("words"))
 
 
 @query("h15_json_path", """select event_id, json_extract_string(props, '$.k') as k from events""")

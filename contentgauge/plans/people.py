@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from contentgauge.functions import numbers, strata, text as T
 from contentgauge.operators import diet as D, legacy_score as J, quiz as QZ, skew as SK, stats as ST
 from contentgauge.operators.indicators import portion_label
-from contentgauge.operators.shape import once
+from contentgauge.operators.shape import once, spread
 from contentgauge.plans import sql_features as Q, views as V
+from contentgauge.plans.common import described
+from contentgauge.plans.descriptors import LABELS_SQL
 from contentgauge.plans.registry import ORACLES, query
 from contentgauge.plans.sql_features import rounded, text
 from contentgauge.plans.times import stamp
@@ -166,12 +168,15 @@ def m09b(spark, sf):
     return ST.cohen_kappa(pairs).select("n", "acuerdo")
 
 
-@query("b14_unbacked", "select doc_id, doc_id % 4 = 0 and (doc_id % 3 = 0 or doc_id % 5 = 1) as sin_respaldo from documents")
+# the format is what the raters say, where none did that of the category
+@query("b14_unbacked", f"""select content_id, coalesce(case quality when 1 then 'informativo' when 0 then 'entretenimiento' end, {Q.category_case()}) = 'informativo'
+   and et_formato in {tuple(QZ.UNBACKED_FORMS)} as sin_respaldo
+  from ({LABELS_SQL}) join (select content_id, category_id from content_v) using (content_id) left join labels on doc_id = content_id""", Q.TOKENS)
 def b14(spark, sf):
-    i = F.col("doc_id")
-    form = F.when(i % 3 == 0, None).when(i % 5 == 1, "directo").otherwise("actualidad")
-    fmt = F.when(i % 4 == 0, "informativo").otherwise("entretenimiento")
-    return V.table(spark, sf, "documents").select("doc_id", QZ.unbacked(fmt, form).alias("sin_respaldo"))
+    rated = V.table(spark, sf, "labels").select(F.col("doc_id").alias("content_id"), "quality")
+    items = described(spark, sf).select("content_id", "formato", "et_formato").join(rated, "content_id", "left")
+    said = F.when(F.col("quality") == 1, "informativo").when(F.col("quality") == 0, "entretenimiento").otherwise(F.col("formato"))
+    return items.select("content_id", QZ.unbacked(said, F.col("et_formato")).alias("sin_respaldo"))
 
 
 # ------------------------------------------------------------------ M: item controls
@@ -253,22 +258,31 @@ def m04(spark, sf):
 
 
 
-@query("m05_advert_quotes", "select event_id, event_id % 3 < 2 as anuncio from events")
+def folded_sql(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(strip_accents(lower({c})), '[^a-z0-9ñ ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+# every line of a text is a quote; stand-ins for the real phrases, as in the lists of the indicators
+STAND_IN_ADVERTS = ["of the", "et de", "und die", "de la", "by this"]
+
+
+@query("m05_advert_quotes", f"""select doc_id, len(q)::bigint as citas, len(list_filter(q, lambda l: {' or '.join(f"contains({folded_sql('l')}, {text(p)})" for p in STAND_IN_ADVERTS)}))::bigint as anuncios
+  from (select doc_id, string_split(text, chr(10)) as q from documents)""")
 def m05(spark, sf):
-    e = F.col("event_id")
-    quote = F.when(e % 3 == 0, "¡Usá mi CÓDIGO! usa mi código").when(e % 3 == 1, "Mirá mi curso, gracias").otherwise("la publicidad institucional")
-    return V.table(spark, sf, "events").select("event_id", QZ.is_advert(quote).alias("anuncio"))
+    d = spread(V.table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("q")))
+    adverts = F.filter("q", lambda quote: QZ.is_advert(quote, STAND_IN_ADVERTS))
+    return d.select("doc_id", F.size("q").cast("long").alias("citas"), F.size(adverts).cast("long").alias("anuncios"))
 
 
-@query("m01_form_check", """select event_id, case when event_id % 5 = 0 then 'formato_invalido' when event_id % 7 = 0 then 'formato_invalido' when event_id % 11 = 0 then 'opciones_duplicadas'
-  when event_id % 13 = 0 then 'indice_correcto_invalido' end as falta from events""")
+# lines two to five of a text are the options, the sixth is the question, its length says which is right
+@query("m01_form_check", f"""select doc_id, case when len(o) <> 4 or coalesce(trim(l[6]), '') = '' then 'formato_invalido'
+  when len(list_distinct(list_transform(o, lambda x: {folded_sql('x')}))) <> 4 then 'opciones_duplicadas'
+  when n_chars % 7 - 1 not between -4 and 3 then 'indice_correcto_invalido' end as falta
+  from (select doc_id, n_chars, l, list_slice(l, 2, 5) as o from (select doc_id, n_chars, string_split(text, chr(10)) as l from documents))""")
 def m01(spark, sf):
-    e = F.col("event_id")
-    options = F.when(e % 5 == 0, F.array(F.lit("a"), F.lit("b"))).when(e % 11 == 0, F.array(*[F.lit(x) for x in ("Sí", "si!", "no", "c")])).otherwise(
-        F.array(*[F.lit(x) for x in ("uno", "dos", "tres", "cuatro")]))
-    question = F.when(e % 7 == 0, "  ").otherwise("¿Qué?")
-    correct = F.when(e % 13 == 0, 4).otherwise((e % 4).cast("int"))
-    return V.table(spark, sf, "events").select("event_id", QZ.form_fault(question, options, correct).alias("falta"))
+    d = spread(V.table(spark, sf, "documents").select("doc_id", "n_chars", F.split("text", "\n").alias("l")))
+    fault = QZ.form_fault(F.get("l", F.lit(5)), F.slice("l", 2, 4), F.col("n_chars") % 7 - 1)
+    return d.select("doc_id", fault.alias("falta"))
 
 
 def generated(spark, sf):
