@@ -157,3 +157,38 @@ def test_unanswered_for_nobody_is_everything(spark):
     a = spark.createDataFrame([("p", 2)], "persona_id string, pregunta_id long")
     assert QZ.unanswered(q, a, "").count() == 3
     assert [r.pregunta_id for r in QZ.unanswered(q, a, "p").collect()] == [1]
+
+
+def test_form_fault_names_the_first(spark):
+    good = ["uno", "dos", "tres", "cuatro"]
+    rows = [("q", good, 0, None), ("q", good, 3, None), ("q", good, -4, None), ("q", good, 4, "indice_correcto_invalido"),
+            ("q", good, None, "indice_correcto_invalido"), ("q", ["a", "b"], 0, "formato_invalido"), ("  ", good, 0, "formato_invalido"),
+            (None, good, 0, "formato_invalido"), ("q", None, 0, "formato_invalido"), ("q", ["Sí", "si!", "no", "c"], 9, "opciones_duplicadas")]
+    df = spark.createDataFrame(rows, "q string, o array<string>, c int, want string").coalesce(1)
+    for r in df.withColumn("got", QZ.form_fault(F.col("q"), F.col("o"), F.col("c"))).collect():
+        assert r.got == r.want, r
+
+
+def test_adverts_by_their_phrases(values):
+    rows = [("¡Usá mi CÓDIGO! usa mi código", True), ("la publicidad institucional", False), ("", False), (None, False)]
+    assert [got for got, in values([(q,) for q, _ in rows], "q string", QZ.is_advert(F.col("q")))] == [w for _, w in rows]
+    assert values([("Und die Zeit",)], "q string", QZ.is_advert(F.col("q"), ["und die"])) == [(True,)]
+
+
+def test_unbacked_formats(values):
+    rows = [("informativo", None, True), ("informativo", "directo", True), ("informativo", "actualidad", False),
+            ("entretenimiento", "directo", False), ("entretenimiento", None, False)]
+    assert [got for got, in values([r[:2] for r in rows], "f string, e string", QZ.unbacked(F.col("f"), F.col("e")))] == [r[2] for r in rows]
+
+
+def test_outcome_of_a_fetch(values):
+    """What came back first, then the real hints in their order, in either case."""
+    rows = [(True, True, "Video unavailable", "ok"), (True, False, "Video unavailable: private video", "unavailable"),
+            (False, False, "The uploader has not made this video available in your country. Video unavailable", "geo_blocked"),
+            (True, False, "TranscriptsDisabled", "no_subs"), (False, False, "sin subtítulos disponibles; video unavailable", "unavailable"),
+            (True, False, "HTTP Error 500", "partial"), (False, True, "TranscriptsDisabled", "partial"), (False, False, "HTTP Error 500", "failed"),
+            (True, False, None, "partial"), (False, False, None, "failed")]
+    got = values([r[:3] for r in rows], "m boolean, t boolean, e string", QU.outcome(F.col("m"), F.col("t"), F.col("e")))
+    assert [g for g, in got] == [r[3] for r in rows]
+    own = QU.outcome(F.col("m"), F.col("t"), F.col("e"), geo=["http"], gone=[], no_subs=[])
+    assert values([(False, False, "HTTP Error 500")], "m boolean, t boolean, e string", own) == [("geo_blocked",)]
