@@ -5,7 +5,9 @@ group, the next to the second, and so on. Only the keys of the groups' last rows
 it is known within a few standard errors where such a key lies: rows below that window are counted,
 the keys inside are ordered, and the counts tell whether the window held the key. With the borders known,
 a row's group is a comparison. The quantile of a group is found the same way, in a window of
-values around the quantile of all rows. Where a window missed, all are made wider and the step is repeated.
+values around the quantile of all rows. Many rows may share a window's first or last value (0 above
+all): those are only counted, what lies between them are no more rows than the window is wide. Where a
+window missed, all are made wider and the step is repeated.
 
 The rows are read twice and their keys made anew, which is cheaper than to keep shuffles x rows. A window
 holds a share of the rows that falls with the root of their number. What comes back to the driver are
@@ -26,8 +28,8 @@ from contentgauge.session import cut_lineage, ship
 
 WIDTH = 5.0  # standard errors to both sides
 IDS = 64  # rows whose keys are made at once
-HELD = 2_000_000  # keys or values a task holds before it hands them on
-GROUPED = 4_000_000  # about as many come together in a task
+HELD = 500_000  # keys or values a task holds before it hands them on
+GROUPED = 1_000_000  # about as many come together in a task
 ROWS_PER_TASK = 20_000
 TOP = 2 ** 64 - 1
 
@@ -233,8 +235,12 @@ def _windows(wide: DataFrame, plan: Plan, width: float) -> list[tuple[float, flo
 
 
 def _ranges(wide: DataFrame, plan: Plan, borders: np.ndarray, windows: list[tuple[float, float]], width: float) -> DataFrame:
-    """(k, perm, rango), null where a window missed."""
+    """(k, perm, rango), null where a window missed.
+
+    ``below`` has three columns a group: rows below the window, at its first and at its last value.
+    """
     ends, groups, tested = plan.ends(), plan.groups(), plan.tested
+    columns = 3 * len(groups)
     expected = sum(min(1.0, 2 * _error(plan.share, m, width)) * m for k, _, m in groups if not tested[k].presence)
     block = _block(plan.permutations, expected)
 
@@ -254,8 +260,9 @@ def _ranges(wide: DataFrame, plan: Plan, borders: np.ndarray, windows: list[tupl
             if tested[k].presence:
                 held.below[:, column] += (group[v > 0] == g).sum(axis=0)
                 continue
-            held.below[:, column] += (group[v < first] == g).sum(axis=0)
-            inside = np.flatnonzero((v >= first) & (v <= last))
+            for part, which in enumerate((v < first, v == first, (v == last) & (v > first))):
+                held.below[:, part * len(groups) + column] += (group[which] == g).sum(axis=0)
+            inside = np.flatnonzero((v > first) & (v < last))
             row, perm = np.nonzero(group[inside] == g)
             held.put(perm, column, v[inside][row])
 
@@ -264,18 +271,25 @@ def _ranges(wide: DataFrame, plan: Plan, borders: np.ndarray, windows: list[tupl
     lower, upper = np.floor(at).astype(np.int64), np.ceil(at).astype(np.int64)
     presence = np.array([tested[k].presence for k, _, _ in groups])
     owner = np.array([k for k, _, _ in groups])
+    firsts, lasts = np.array(windows).T
 
     def select(key, table):
-        below, codes, (values,) = _together(table, len(groups), np.float64)
+        counts, codes, (values,) = _together(table, columns, np.float64)
+        below, at_first, at_last = np.split(counts, 3, axis=1)
         order = np.lexsort((values, codes))
         codes, values = codes[order], np.append(values[order], np.nan)
         perms = key[0].as_py() * block + np.arange(len(below))
-        want = perms[:, None] * len(groups) + np.arange(len(groups))[None, :]
+        want = perms[:, None] * columns + np.arange(len(groups))[None, :]
         start, stop = np.searchsorted(codes, want, "left"), np.searchsorted(codes, want, "right")
-        a, b = start + lower - below, start + upper - below
-        sure = presence | ((a >= start) & (b < stop))
-        a, b = np.where(sure & ~presence, a, len(codes)), np.where(sure & ~presence, b, len(codes))
-        x, y = values[a], values[b]
+        between = stop - start
+
+        def value(at):  # null outside the window
+            own = at - below - at_first
+            listed = values[np.where((own >= 0) & (own < between), start + own, len(codes))]
+            found = np.where(own < 0, firsts, np.where(own < between, listed, lasts))
+            return np.where(~presence & (at >= below) & (own < between + at_last), found, np.nan)
+
+        x, y = value(lower), value(upper)
         middle = np.where((lower == upper) | (x == y), x, (upper - at) * x + (at - lower) * y)
         stat = np.where(presence, below / sizes, middle)
         out = [[], [], []]
@@ -288,5 +302,5 @@ def _ranges(wide: DataFrame, plan: Plan, borders: np.ndarray, windows: list[tupl
         k, perm, rango = map(np.concatenate, out)
         return pa.table([pa.array(k), pa.array(perm), pa.array(rango, mask=np.isnan(rango))], ["k", "perm", "rango"])
 
-    found = _pass(wide, plan, lambda: Held(plan.permutations, len(groups), block, np.float64), look)
+    found = _pass(wide, plan, lambda: Held(plan.permutations, columns, block, np.float64), look)
     return found.groupBy("block").applyInArrow(select, "k int, perm long, rango double")

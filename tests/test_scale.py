@@ -2,6 +2,8 @@ import random
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +219,43 @@ def test_selection_equals_sorting(spark, monkeypatch, width):
                 part, at = [v for _, v in order[at:at + m]], at + m
                 stats.append(sum(v > 0 for v in part) / m if t.presence else float(np.quantile(part, 1 / 3)))
             assert got[t.name, perm] == pytest.approx(max(stats) - min(stats), abs=2e-9)
+
+
+def test_rows_that_share_a_value_are_counted_not_held():
+    """Two fifths of the rows are zero, and so is every group's cut: a task holds no more keys than the window is wide."""
+    rng = np.random.default_rng(4)
+    n, perms, sizes = 2000, 12, (800, 1200)
+    values = np.where(np.arange(n) % 5 < 2, 0.0, np.round(rng.random(n) + 0.01, 3))
+    plan = shuffles.Plan((shuffles.Tested("a", False, sizes),), (0,), perms, 9, 1.0 / 3.0)
+    ids = [str(k) for k in range(n)]
+    high, low = plan.keys(ids)
+    order = np.array([np.lexsort((low[:, p], high[:, p])) for p in range(perms)])
+    last = order[:, sizes[0] - 1]
+    borders = np.stack([high[last, range(perms)], low[last, range(perms)]], axis=1)[None]
+    error = [shuffles._error(1 / 3, m, 5.0) for m in sizes]
+    windows = [(float(np.quantile(values, 1 / 3 - e, method="lower")), float(np.quantile(values, 1 / 3 + e, method="higher"))) for e in error]
+
+    class Plain:  # keeps the two steps instead of running them
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def groupBy(self, name):
+            return self
+
+        def applyInArrow(self, select, schema):
+            self.select = select
+            return self
+
+    steps = shuffles._ranges(Plain(), plan, borders, windows, 5.0)
+    parts = list(steps.run(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(values)], ["id", "v0"])])))
+    rows = pa.Table.from_batches(parts)
+    held = sum(len(x.as_py()) // 8 for x in rows.column("codes"))
+    assert held <= sum(2 * e * m for e, m in zip(error, sizes)) * perms
+    got = {}
+    for block in set(rows.column("block").to_pylist()):
+        found = steps.select((pa.scalar(block),), rows.filter(pc.equal(rows.column("block"), block)))
+        got |= dict(zip(found.column("perm").to_pylist(), found.column("rango").to_pylist(), strict=True))
+    for p in range(perms):
+        cuts = [np.quantile(values[part], 1 / 3) for part in np.split(order[p], [sizes[0]])]
+        assert got[p] == pytest.approx(abs(cuts[0] - cuts[1]), abs=2e-9)
