@@ -213,3 +213,35 @@ def test_scripts_never_cost_less_than_the_distance(spark):
     middles = lines._middles(rows).select("k", "x", "y", least(F.col("x"), F.col("y"))).orderBy("k").collect()
     assert [r["least"] for r in middles] == [r["least"] for r in got]
     assert (middles[-1]["x"], middles[-1]["y"]) == ("", "river ")
+
+
+def test_short_lines_take_part(frame):
+    """Repeats of any line with a word go; of 10 to 19 characters also what one edit sets apart, none under that."""
+    texts = ["Chapter\n\n---\nRead more here\nlantern", "chapter:\n\n---\nRead moore here\nlanterns", "Read more hare\nread mor here\nRead it here\nlanterns!"]
+    out = lines.dedup(frame([(k, t, "", len(t)) for k, t in enumerate(texts)], SCHEMA)).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in out} == {
+        0: (texts[0], 0), 1: ("\n---\nlanterns", 2), 2: ("Read it here", 3)}
+
+
+def test_all_short_pairs_within_an_edit_link(frame):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 6)))
+    made = []
+    for _ in range(120):
+        a = " ".join(word() for _ in range(3))
+        at = rng.randrange(len(a))
+        made += [a, rng.choice([a[:at] + "b" + a[at + 1:], a[:at] + a[at + 1:], a[:at] + "d" + a[at:]])]
+    norms = [" ".join(words_of(x)) for x in made]
+    parent = list(range(len(norms)))
+
+    def root(n):
+        return n if parent[n] == n else root(parent[n])
+
+    for i, a in enumerate(norms):
+        for j in range(i):
+            if a == norms[j] or 9 < max(len(a), len(norms[j])) < 20 and distance(a, norms[j]) <= 1:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    out = lines.dedup(frame([(k, x, "", 1) for k, x in enumerate(made)], SCHEMA)).collect()
+    gone = {r.doc_id for r in out if r.n_removed}
+    short = {k for k, x in enumerate(norms) if len(x) < 19}
+    assert len(gone & short) > 40 and gone & short == {k for k in short if root(k) != k}
