@@ -175,6 +175,13 @@ def test_adverts_by_their_phrases(values):
     assert values([("Und die Zeit",)], "q string", QZ.is_advert(F.col("q"), ["und die"])) == [(True,)]
 
 
+def test_a_quote_is_folded_once_for_all_phrases(spark):
+    rows = spark.createDataFrame([(["Y mi  Curso!", None, "mi\tcursillo"],)], "q array<string>")
+    found = rows.select(F.transform("q", lambda q: QZ.is_advert(q)).alias("r"))
+    assert found.first().r == [True, False, False]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
 def test_unbacked_formats(values):
     rows = [("informativo", None, True), ("informativo", "directo", True), ("informativo", "actualidad", False),
             ("entretenimiento", "directo", False), ("entretenimiento", None, False)]
