@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
@@ -170,37 +170,36 @@ class Watch(StatefulProcessor):
         self.handle = handle
         self.started = handle.getValueState("started", "us bigint")
 
-    def _rows(self, key: Any, late: list[int]) -> pd.DataFrame:
-        # plain objects: pandas' own string columns come in chunks, which the state's serializer does not take
-        of = lambda x: pd.Series([x] * len(late), dtype=object)
-        return pd.DataFrame({"item": of(key[0]), "started": pd.Series(late, dtype="int64"), "motivo": of(self.MOTIVO)})
+    def _rows(self, key: Any, late: list[int]) -> Iterator[Row]:
+        return (Row(item=key[0], started=at, motivo=self.MOTIVO) for at in late)
 
     def _due(self, started: int) -> int:
         return started // 1000 + self.seconds * 1000
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        before = self.started.get()[0] if self.started.exists() else None
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        # every question to the state store is a call to the JVM: one, not first whether there is a value
+        held = self.started.get()
+        before = None if held is None else held[0]
         started, late = before, []
-        reports: set[tuple[int, bool]] = set()
-        for batch in rows:
-            reports.update(zip(batch["us"].tolist(), batch["done"].tolist(), strict=True))
-        for at, done in sorted(reports):
+        for at, done in sorted({(row["us"], row["done"]) for row in rows}):
             if started is not None and at - started > self.seconds * 1_000_000:
                 late.append(started)
                 started = None
             started = None if done else (at if started is None else started)
         if before is not None and started != before:
             self.handle.deleteTimer(self._due(before))
-            self.started.clear()
+            if started is None:
+                self.started.clear()
         if started is not None and started != before:
             self.started.update((started,))
             self.handle.registerTimer(self._due(started))
-        yield self._rows(key, late)
+        yield from self._rows(key, late)
 
-    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        late = [self.started.get()[0]] if self.started.exists() else []
-        self.started.clear()
-        yield self._rows(key, late)
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        held = self.started.get()
+        if held is not None:
+            self.started.clear()
+            yield from self._rows(key, [held[0]])
 
     def close(self) -> None:
         pass
@@ -217,7 +216,7 @@ def time_out(progress: DataFrame, seconds: int = GIVE_UP_SECONDS, delay: str = "
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = progress.schema["item"].dataType.simpleString()
     rows = progress.withWatermark("at", delay).select("item", "at", F.unix_micros("at").alias("us"), "done")
-    return rows.groupBy("item").transformWithStateInPandas(
+    return rows.groupBy("item").transformWithState(
         Watch(seconds), f"item {kind}, started bigint, motivo string", "Append", "EventTime")
 
 
