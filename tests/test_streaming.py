@@ -2,7 +2,7 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from contentgauge.functions import lexicons as L
 from contentgauge.streaming import feed as N, tables as T
@@ -90,6 +90,48 @@ def test_work_not_reported_in_time_is_incomplete(spark, drop, tmp_path):
     assert seen == [("a", "enriquecimiento_incompleto")]
 
 
+def test_time_out_asks_the_store_once_a_key():
+    """One question per key and run, no output for nothing, and the same item that is held is not written again."""
+    class Store:
+        def __init__(self):
+            self.asked, self.value, self.timers = 0, None, set()
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def exists(self):
+            self.asked += 1
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    store, watch = Store(), N.Watch(60)
+    watch.init(store)
+    see = lambda *rows: [(r["item"], r["started"]) for r in watch.handleInputRows(("a",), iter(
+        [Row(us=s * 1_000_000, done=done) for s, done in rows]), None)]
+    assert see((0, False), (10, False)) == [] and (store.value, store.timers, store.asked) == ((0,), {60_000}, 1)
+    assert see((100, False), (90, False)) == [("a", 0)] and (store.value, store.timers) == ((90_000_000,), {150_000})
+    assert see((95, None)) == [] and store.value == (90_000_000,)
+    assert see((120, True)) == [] and (store.value, store.timers, store.asked) == (None, set(), 4)
+    assert see((200, False)) == [] and store.asked == 5
+    assert [r["started"] for r in watch.handleExpiredTimer(("a",), None, None)] == [200_000_000]
+    assert list(watch.handleExpiredTimer(("a",), None, None)) == [] and store.asked == 7
+
+
 def test_status_and_error_come_from_the_same_attempt(spark, drop, tmp_path):
     row = lambda s, e, m: {"external_id": "a", "enrichment_status": s, "enrichment_error": e, "enricher_version": "v", "enriched_at": f"2026-01-01T00:0{m}:00Z"}
     path = str(tmp_path / "o")
