@@ -245,3 +245,24 @@ def test_all_short_pairs_within_an_edit_link(frame):
     gone = {r.doc_id for r in out if r.n_removed}
     short = {k for k, x in enumerate(norms) if len(x) < 19}
     assert len(gone & short) > 40 and gone & short == {k for k in short if root(k) != k}
+
+
+def test_pairs_grow_with_the_nodes_of_a_group(frame, monkeypatch):
+    """Four hundred near copies of a line are one group, whose texts are fetched for few pairs a node."""
+    draw = random.Random(31)
+    base = [draw.choice(WORDS) + draw.choice(WORDS) for _ in range(60)]
+    rows = [(k, " ".join(base[:at] + [base[at] + "x" * (k % 7 + 1)] + base[at + 1:]), "", 1) for k, at in enumerate(
+        [draw.randrange(60) for _ in range(400)])]
+    stored, write = {}, lines.store
+
+    def count(df, name):
+        out = write(df, name)
+        if name in ("line-pairs", "alike"):
+            stored[name] = stored.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "store", count)
+    got = lines.dedup(frame(rows, SCHEMA)).collect()
+    nodes = len({text for _, text, _, _ in rows})
+    assert nodes > 200 and sum(r.n_removed for r in got) == 399
+    assert nodes - 1 <= stored["line-pairs"] <= 20 * nodes
