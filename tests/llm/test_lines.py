@@ -266,3 +266,43 @@ def test_pairs_grow_with_the_nodes_of_a_group(frame, monkeypatch):
     nodes = len({text for _, text, _, _ in rows})
     assert nodes > 200 and sum(r.n_removed for r in got) == 399
     assert nodes - 1 <= stored["line-pairs"] <= 20 * nodes
+
+
+def test_letters_never_prove_more_than_the_distance(spark):
+    """Also for lines whose counts pass the end of a lane; lines of other letters are told apart."""
+    rng = random.Random(12)
+    line = lambda n: "".join(rng.choice("etaoinzxéß  ") for _ in range(n)).strip()
+    pairs = [("", "a"), ("e" * 300, "e" * 180 + "t" * 90), ("a b c", "abc"), ("é", "z")]
+    for _ in range(150):
+        a = line(rng.randrange(1, 60))
+        b = a
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(b) + 1)
+            b = b[:at] + rng.choice(["", "e", " ", "é", "to"]) + b[at + rng.randrange(3):]
+        pairs += [(a, b), (a, line(len(a) + 1))]
+    rows = spark.createDataFrame(pairs, "x string, y string")
+    sides = [dict(zip(("bag1", "bag2"), lines.bags(F.col(c), F.char_length(c), F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit("")))), strict=True)) for c in ("x", "y")]
+    got = rows.select("x", "y", lines._apart(*sides).alias("least"), F.levenshtein("x", "y").alias("d")).collect()
+    assert len(got) == len(pairs) and all(0 <= r.least <= r.d for r in got)
+    assert sum(r.least for r in got) > 0.3 * sum(r.d for r in got)
+    assert [r.least for r in got if len(r.x) == 300] == [90]
+
+
+def test_a_pair_meets_once_and_only_where_letters_allow(spark):
+    """Nodes that share all four blocks come from the join of the first alone; of two lines alike in bits, but not in letters, nothing comes."""
+    rng = random.Random(4)
+    base = rng.getrandbits(lines.BITS)
+    sims = [base, base, base ^ 1, base ^ 1 << 20 ^ 3, base ^ 0b111 ^ 7 << 20, rng.getrandbits(lines.BITS)]
+    texts = ["the tide of the river turns at noon near the old mill"] * 6
+    rows = [(k, sim, text, k) for k, (sim, text) in enumerate(zip(sims, texts, strict=True))]
+    rows.append((9, base, "xyz wv qqq kk zzz bbbbb jjjjj vvv xx yyyy kkk ffff zz", 9))
+    nodes = spark.createDataFrame(rows, "id long, sim long, norm string, root long").withColumn("chars", F.char_length("norm"))
+    bag1, bag2 = lines.bags(F.col("norm"), F.col("chars"), F.size(F.split("norm", " ")) - 1)
+    nodes = nodes.withColumns({"bag1": bag1, "bag2": bag2}).localCheckpoint()
+    codes = lines._codes(lines.SIMILAR)
+    met = [[(r.a, r.b) for r in lines._met_first(nodes, codes, k, lines.RADIUS, lines.SIMILAR).collect()] for k in range(4)]
+    bits = [[s >> b & 1 for b in range(lines.BITS)] for s in sims]
+    want = {(a, b) for b in range(6) for a in range(b) if meet(bits[a], bits[b])}
+    found = [p for pairs in met for p in pairs]
+    assert len(want) == 10 and sorted(found) == sorted(want)
+    assert (0, 1) in met[0]
