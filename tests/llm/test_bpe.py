@@ -93,3 +93,23 @@ def test_table_with_nulls_and_other_columns(frame, library):
         assert r.tokens == want and r.decoded == library.decode(want, skip_special_tokens=False)
     empty = frame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(empty, PATH), PATH).collect() == []
+
+
+def test_a_batch_does_not_run_through_what_is_known():
+    """Words and pieces that are known are looked up, whatever their number; odd white space and special tokens in between."""
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("all known words")
+
+        __iter__ = keys
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    coder = bpe.Encoder(bpe.vocabulary(path))
+    coder.known, coder.piece = Known(), Known()
+    texts = ["a\x1cb <|endoftext|>x ΑΣ é É\u0301 q\u3000w\x85z", None, "", "<|startoftext|>", "don't  it's'll 12ab--??<|endoftext|><|endoftext|>",
+             "\u0301 \u0301a\x1f\x1e", "\u212b \uf900 x\u0323\u0307", "İI ẞ ǅ"]
+    for _ in range(2):
+        values, ends = coder.batch(texts)
+        assert [values[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [
+            library.encode(t or "", add_special_tokens=False).ids for t in texts]
