@@ -88,3 +88,32 @@ def test_runs_and_slots(spark):
     assert [[names[c] for c in r] for r in again.T] == [[words[c] if c else b"" for c in r] for r in rows.T] and list(sums) == list(counts)
     got = spark.sql("select pmod(xxhash64('é', 'a ü'), 65536)").first()[0]
     assert got == collocations.slot_of("é", "a ü".encode())
+
+
+def test_words_are_coded_and_put_in_order_as_plain_python_does():
+    texts = [b"the  a \x1c the \xc3\xa9", b"", b"  ", b"\xff a \xff \xff b the"]
+    words, codes = collocations.coded(texts)
+    assert words[0] == b"\xff" and len(set(words)) == len(words)
+    assert [words[c] for c in codes] == b" \xff ".join([b"", *texts, b""]).split()
+    rng = np.random.default_rng(3)
+    for most in (3, 1_000, 70_000, 1 << 31):  # the last has keys beyond 64 bits
+        codes = np.append(rng.choice([0, 1, 2, most - 1], 500), rng.integers(0, most, 300))
+        padded = [*codes.tolist(), 0, 0, 0, 0]
+        plain = Counter()
+        for k in range(len(codes)):
+            row = padded[k:k + 4]
+            row = row[:row.index(0)] if 0 in row else row
+            if len(row) > 1:
+                plain[tuple(row + [0] * (4 - len(row)))] += 1
+        rows, counts = collocations.suffixes(codes)
+        assert list(zip(map(tuple, rows.T.tolist()), counts.tolist(), strict=True)) == sorted(plain.items())
+        mixed = rng.permutation(np.append(np.arange(rows.shape[1]), np.arange(rows.shape[1])))
+        again, sums = collocations.fold(rows[:, mixed], counts[mixed])
+        assert (again == rows).all() and (sums == 2 * counts).all()
+
+
+def test_heavy_prefixes_are_extended(spark):
+    rows = [("en", b"a b c. a b d. x a b c"), ("de", b"a b c a b")]
+    texts = spark.createDataFrame(rows, "lang string, text binary")
+    got = collocations.count_prefixes(texts, 3, frozenset({("en", b"a b")}), 100).collect()
+    assert sorted(map(tuple, got)) == [("en", "a b c", 2), ("en", "a b d", 1)]
