@@ -306,3 +306,36 @@ def test_a_pair_meets_once_and_only_where_letters_allow(spark):
     found = [p for pairs in met for p in pairs]
     assert len(want) == 10 and sorted(found) == sorted(want)
     assert (0, 1) in met[0]
+
+
+def test_parts_of_the_probes_share_no_pair_and_lose_none(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(lines.BITS) for _ in range(4)]
+    sims = [b ^ 1 << rng.randrange(lines.BITS) ^ 1 << rng.randrange(lines.BITS) for b in base for _ in range(12)]
+    rows = [(k, sim, k, 50 + k % 5, 0, 0) for k, sim in enumerate(sims)]
+    nodes = spark.createDataFrame(rows, "id long, sim long, root long, chars int, bag1 long, bag2 long").localCheckpoint()
+    codes = lines._codes(lines.SIMILAR)
+    assert all(len(probes) == lines.PARTS > 1 for _, probes in codes)
+    parts = [lines._met_first(nodes, codes, 1, lines.RADIUS, lines.SIMILAR, range(k, k + 1)).collect() for k in range(lines.PARTS)]
+    whole = lines._met_first(nodes, codes, 1, lines.RADIUS, lines.SIMILAR).collect()
+    assert all(parts) and sorted(p for part in parts for p in part) == sorted(whole)
+    assert len(set(whole)) == len(whole)
+
+
+def test_neighbours_in_one_group_already_are_not_judged(frame, monkeypatch):
+    """Near copies that all link with their bucket's most frequent line need no other pairs."""
+    rng, judged, alike = random.Random(5), [], lines._alike
+    words = rng.choices(WORDS, k=60)
+
+    def copy(k):
+        return " ".join([*words[:k], "zu", *words[k + 1:]])
+
+    def count(pairs, *rest):
+        judged.append(pairs.distinct().count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(lines, "_alike", count)
+    docs = [(k, " ".join(words), "x", 1) for k in range(3)] + [(3 + k, copy(k), "x", 1) for k in range(50)]
+    left = lines.dedup(frame(docs, SCHEMA)).where("n_removed = 0").collect()
+    assert [r.doc_id for r in left] == [0]
+    assert sum(judged) < 3 * 51
