@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from contentgauge.llm import simhash
@@ -96,3 +97,68 @@ def test_keep_one_with_null_and_shared_ids(frame):
     assert kept.columns == ["doc_id", "text"]
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted(
         [(0, texts[0]), (0, texts[1]), (3, texts[2]), (3, texts[3]), (4, texts[4])])
+
+
+def spread(draw, n, lanes, flips):
+    """Random fingerprints, a crowd around one of them and single copies of others, in order of population count."""
+    prints = [draw.getrandbits(64 * lanes) for _ in range(n // 2)]
+    for k in range(n - len(prints)):
+        x = draw.choice(prints) if k % 3 else prints[0]
+        for bit in draw.sample(range(64 * lanes), draw.randint(1, flips)):
+            x ^= 1 << bit
+        prints.append(x)
+    return sorted(set(prints), key=lambda x: (x.bit_count(), x))
+
+
+def matrix(prints, lanes):
+    return simhash._matrix(b"".join(x.to_bytes(8 * lanes) for x in prints), lanes)
+
+
+def test_parts_join_what_tiles_join():
+    draw = random.Random(17)
+    for lanes, radius in ((4, 51), (1, 4), (1, 0), (2, 20), (4, 2)):
+        prints = spread(draw, 1200, lanes, radius + radius // 6 + 1)
+        whole, cut = matrix(prints, lanes), len(prints) // 3
+        want = np.arange(len(prints))
+        simhash.by_tiles(whole, whole, True, radius, want)
+        assert 100 < len(np.unique(want)) <= len(prints) - 50 * (radius > 0)
+        for split, size in ((4, 4), (5, 16), (6, 8), (8, 64)):
+            got = np.arange(len(prints))
+            simhash.by_parts(whole, whole, True, radius, got, split, size)
+            assert got.tolist() == want.tolist()
+            # two blocks, and each with itself
+            both = np.arange(len(prints))
+            simhash.by_parts(whole[:, :cut].copy(), whole[:, cut:].copy(), False, radius, both, split, size)
+            for k, part in ((0, whole[:, :cut].copy()), (cut, whole[:, cut:].copy())):
+                own = np.arange(part.shape[1])
+                simhash.by_parts(part, part, True, radius, own, split, size)
+                simhash._join(both, np.arange(len(own)) + k, own + k)
+            assert both.tolist() == want.tolist()
+
+
+def test_parts_prove_every_pair_within_the_radius():
+    """As many differing bits as the radius, dealt over the lanes and parts as unluckily as can be."""
+    for lanes, radius in ((4, 51), (1, 4), (2, 20), (1, 0)):
+        for split in simhash.SPLITS:
+            parts = simhash._parts(lanes, radius, split)
+            assert sum(flips + 1 for _, _, _, flips, _ in parts) == radius + 1
+            most = dict((lane, most) for lane, _, _, _, most in parts)
+            assert sum(m + 1 for m in most.values()) == radius + 1
+            for lane in most:
+                assert sum(flips + 1 for x, _, _, flips, _ in parts if x == lane) == most[lane] + 1
+            assert all(0 <= first and first + width <= 64 for _, first, width, _, _ in parts)
+
+
+def test_large_blocks_compare_a_small_share_of_the_pairs(monkeypatch):
+    """Unlike fingerprints of two large blocks: few lanes are compared, not all of every pair."""
+    draw, seen, count = np.random.default_rng(5), [0], np.bitwise_count
+    blocks = [draw.integers(0, 2**64, (4, 100_000), np.uint64, endpoint=False) for _ in range(2)]
+    blobs = [x.T.astype(">u8").tobytes() for x in blocks]
+
+    def counted(x, *args, **kwargs):
+        seen[0] += x.size
+        return count(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    assert simhash.forest(*blobs, False, 4, 51) == []
+    assert seen[0] < 0.25 * 4 * 100_000**2
