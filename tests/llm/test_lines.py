@@ -339,3 +339,17 @@ def test_neighbours_in_one_group_already_are_not_judged(frame, monkeypatch):
     left = lines.dedup(frame(docs, SCHEMA)).where("n_removed = 0").collect()
     assert [r.doc_id for r in left] == [0]
     assert sum(judged) < 3 * 51
+
+
+def test_equal_lines_are_hashed_once(frame, monkeypatch):
+    """Two hundred lines with two texts: two are turned into words, letters and SimHashes."""
+    hashed, own = [], lines.hashed
+
+    def count(texts):
+        hashed.append(texts.count())
+        return own(texts)
+
+    monkeypatch.setattr(lines, "hashed", count)
+    out = lines.dedup(frame([(k, "a line that stands in every document\nAnother one, of other words.", "", 1) for k in range(100)], SCHEMA))
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {k: 2 * (k > 0) for k in range(100)}
+    assert hashed == [2]
